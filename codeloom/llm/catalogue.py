@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import syntax
+from codeloom.llm import mixing, packing, quality, syntax, tokens
 from codeloom.sources.tables import table
 
 
@@ -25,7 +25,37 @@ def p2_rates(spark: SparkSession, d: str) -> DataFrame:
     return syntax.rates(s, syntax.unparsable(s))
 
 
-_QUERIES = [p2_found, p2_reasons, p2_rates]
+def _sizes(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    return tokens.with_tokens(table(spark, d, "documents").select("doc_id", *more, "text"))
+
+
+def p6_packed(spark: SparkSession, d: str) -> DataFrame:
+    # The specifications are a handful written by hand.
+    capacities = {r[0]: r[1] for r in table(spark, d, "pack_specs").where("spec_id IS NOT NULL AND capacity_tokens > 0").select("spec_id", "capacity_tokens").limit(1000).collect()}
+    return packing.pack(_sizes(spark, d), capacities)
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(p6_packed(spark, d))
+
+
+def p7_mixed(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(_sizes(spark, d, "source", "lang"), table(spark, d, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(_sizes(spark, d, "source", "lang"), table(spark, d, "mix_targets"))[1]
+
+
+def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return quality.statistics(table(spark, d, "documents"), table(spark, d, "common_words"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.not_prose(p8_statistics(spark, d))
+
+
+_QUERIES = [p2_found, p2_reasons, p2_rates, p6_packed, p6_fill, p7_mixed, p7_shares, p8_found, p8_statistics]
 
 
 def queries() -> dict:
