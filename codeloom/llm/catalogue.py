@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import mixing, packing, quality, syntax, tokens
+from codeloom.llm import mixing, packing, provenance, quality, syntax, tokens
 from codeloom.sources.tables import table
 
 
@@ -25,6 +25,14 @@ def p2_rates(spark: SparkSession, d: str) -> DataFrame:
     return syntax.rates(s, syntax.unparsable(s))
 
 
+def p3_scores(spark: SparkSession, d: str) -> DataFrame:
+    return provenance.scored(table(spark, d, "source_files"), table(spark, d, "library_files"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return provenance.not_hand_written(p3_scores(spark, d))
+
+
 def _sizes(spark: SparkSession, d: str, *more: str) -> DataFrame:
     return tokens.with_tokens(table(spark, d, "documents").select("doc_id", *more, "text"))
 
@@ -55,7 +63,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return quality.not_prose(p8_statistics(spark, d))
 
 
-_QUERIES = [p2_found, p2_reasons, p2_rates, p6_packed, p6_fill, p7_mixed, p7_shares, p8_found, p8_statistics]
+_QUERIES = [p2_found, p2_reasons, p2_rates, p3_found, p3_scores, p6_packed, p6_fill, p7_mixed, p7_shares, p8_found, p8_statistics]
 
 
 def queries() -> dict:
