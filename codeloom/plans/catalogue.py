@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from codeloom.plans import problems
+from codeloom.plans import problems, reference
 
-_MODULES = (problems,)
+_MODULES = (problems, reference)
 
 
 def queries() -> dict:
