@@ -56,6 +56,10 @@ def source_text(files: DataFrame, keep: tuple[str, ...] = ("repo", "path")) -> D
     return files.where("content IS NOT NULL").select(*keep, code.language(F.col("path")).alias("language"), text.alias("text"))
 
 
+def _as_row(kind: str, groups: int):
+    return lambda x: F.struct(F.lit(kind).alias("kind"), *[x[f"g{i + 1}"].alias(f"g{i + 1}") for i in range(groups)])
+
+
 def _found(df: DataFrame, table: dict[str, list], groups: int) -> DataFrame:
     """One row per match: language, kind and the groups g1, g2."""
     pieces = []
@@ -63,7 +67,7 @@ def _found(df: DataFrame, table: dict[str, list], groups: int) -> DataFrame:
         for spec in table[lang]:
             g = [F.regexp_extract_all("text", F.lit(spec[0]), F.lit(i)) for i in range(1, groups + 1)]
             z = F.arrays_zip(*[c.alias(f"g{i + 1}") for i, c in enumerate(g)])
-            pieces.append(F.when(F.col("language") == lang, F.transform(z, lambda x, k=spec[1]: F.struct(F.lit(k).alias("kind"), *[x[f"g{i + 1}"].alias(f"g{i + 1}") for i in range(groups)]))))
+            pieces.append(F.when(F.col("language") == lang, F.transform(z, _as_row(spec[1], groups))))
     none = F.array().cast("array<struct<kind:string," + ",".join(f"g{i + 1}:string" for i in range(groups)) + ">>")
     all_ = F.concat(*[F.coalesce(p, none) for p in pieces])
     keep = [c for c in df.columns if c != "text"]
