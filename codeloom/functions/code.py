@@ -76,7 +76,8 @@ def excluded(path: Column, patterns: list[str] | None = None) -> Column:
 
 
 def is_test(path: Column) -> Column:
-    low = F.lower(path)
+    """By name or folder; a folder at the top of a relative path counts as one below a root."""
+    low = F.concat(F.lit("/"), F.lower(path))
     return _any([F.contains(file_name(low), F.lit(p)) for p in TEST_NAMES] + [F.contains(low, F.lit(p)) for p in TEST_PATHS])
 
 

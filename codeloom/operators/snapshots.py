@@ -73,10 +73,11 @@ def diff(records: DataFrame, snapshots: DataFrame, keys: Sequence[str], values:
             e = F.col(k).eqNullSafe(F.col(f"_d_{k}"))
             on = e if on is None else on & e
         r = r.join(d, on)
-    entry = F.struct((F.col("ordinal") % WORD).cast("int").alias("bit"), *keys, F.struct(*values).alias("v"))
+    named = [F.lit("bit"), (F.col("ordinal") % WORD).cast("int")] + [x for k in keys for x in (F.lit(k), F.col(k))]
+    entry = F.named_struct(*named, F.lit("v"), F.named_struct(*[x for v in values for x in (F.lit(v), F.col(v))]))
     sides = F.array(
-        F.struct(F.col("snapshot_id").alias("pair"), F.lit(True).alias("newer"), (F.col("seq") > 1).alias("ok")),
-        F.struct(F.col("next_id").alias("pair"), F.lit(False).alias("newer"), F.col("next_id").isNotNull().alias("ok")),
+        F.named_struct(F.lit("pair"), F.col("snapshot_id"), F.lit("newer"), F.lit(True), F.lit("ok"), F.col("seq") > 1),
+        F.named_struct(F.lit("pair"), F.col("next_id"), F.lit("newer"), F.lit(False), F.lit("ok"), F.col("next_id").isNotNull()),
     )
     s = r.select("block", F.floor(F.col("ordinal") / WORD).alias("word"), entry.alias("e"), F.explode(sides).alias("s")).where("s.ok")
     bit = F.expr("shiftleft(1L, e.bit)")

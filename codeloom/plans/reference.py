@@ -142,7 +142,7 @@ _SOURCE = f"lower(regexp_extract(path, '(\\.[^./\\\\]*)$', 1)) IN ({_q([e for v
 
 
 @query(
-    f"""SELECT file_id, {_lang('path')} AS language, {_contains('path', code.EXCLUDED)} AS excluded, {_contains(_NAME.replace('path', 'lower(path)'), code.TEST_NAMES)} OR {_contains('lower(path)', code.TEST_PATHS)} AS test,
+    f"""SELECT file_id, {_lang('path')} AS language, {_contains('path', code.EXCLUDED)} AS excluded, {_contains(_NAME.replace('path', 'lower(path)'), code.TEST_NAMES)} OR {_contains("('/' || lower(path))", code.TEST_PATHS)} AS test,
 {_SOURCE} AS source, NOT {_contains('path', code.WATCH_EXCLUDED)} AND ({_NAME} IN ({_q(code.WATCH_IMPORTANT)}) OR {_SOURCE}) AS watched FROM source_files"""
 )
 def path_filters(spark, d):
@@ -431,7 +431,7 @@ def latest_edits(spark, d):
     return store.newest(table(spark, d, "events").select("event_id", "ts"), "ts", "event_id", 20)
 
 
-@query("WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS starts FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS first, max(ts) + INTERVAL 30 MINUTE AS fires_at, count(*) AS events FROM s GROUP BY user_id, k")
+@query("WITH g AS (SELECT user_id, ts, CASE WHEN ts > lag(ts) OVER w + INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS starts FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS first, max(ts) + INTERVAL 30 MINUTE AS fires_at, count(*) AS events FROM s GROUP BY user_id, k")
 def debounced_bursts(spark, d):
     return watch.debounce(table(spark, d, "events"), "ts", ("user_id",), "30 minutes", None)
 

@@ -19,6 +19,9 @@ def tree(spark: SparkSession, folder: str, tests: bool = False, exclude: list[st
     Symbolic links to folders are not followed. Path filters run on the listing; contents are read only where they are selected.
     """
     d = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").load(folder)
+    if empty := _empty_files(spark, folder):  # which the reader leaves out
+        e = spark.createDataFrame(empty, "path STRING, t BIGINT").select("path", F.timestamp_millis("t").alias("modificationTime"), F.lit(0).cast("bigint").alias("length"), F.lit(b"").alias("content"))
+        d = d.unionByName(e)
     p = F.regexp_replace("path", r"^\w+:/*(?=/)", "")
     base = os.path.abspath(folder.removeprefix("file://")).rstrip("/")
     rel = F.when(p == base, code.file_name(p)).otherwise(F.substring(p, len(base) + 2, 1 << 20))
@@ -28,6 +31,18 @@ def tree(spark: SparkSession, folder: str, tests: bool = False, exclude: list[st
     return d.withColumn("language", code.language(F.col("path")))
 
 
+def _empty_files(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
+    """Paths and times of files without content, from the listing that the driver makes for any file source."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(path, True)
+    out = []
+    while files.hasNext():
+        f = files.next()
+        if f.getLen() == 0:
+            out.append((f.getPath().toString(), f.getModificationTime()))
+    return out
+
+
 def snapshot(files: DataFrame) -> DataFrame:
     """(path, modified_time, content_hash, size)."""
     return files.select("path", "modified_time", F.sha2("content", 256).alias("content_hash"), "size")

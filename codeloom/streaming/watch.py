@@ -20,7 +20,7 @@ def relevant(events: DataFrame, kind_col: str = "kind", path_col: str = "path")
 
 
 def debounce(events: DataFrame, time_col: str = "ts", keys: tuple[str, ...] = ("session_id",), gap: str = DEBOUNCE, late: str | None = "10 seconds") -> DataFrame:
-    """(*keys, first, fires_at, events): one row per burst, due a gap after its last event. Batch and stream alike; late is the watermark of a stream."""
+    """(*keys, first, fires_at, events): one row per burst, due a gap after its last event; an event exactly a gap after another joins it. Batch and stream alike; late is the watermark of a stream."""
     e = events.withWatermark(time_col, late) if late and events.isStreaming else events
     w = F.session_window(time_col, gap)
     return e.groupBy(*keys, w).agg(F.count("*").alias("events")).select(*keys, F.col("session_window.start").alias("first"), F.col("session_window.end").alias("fires_at"), "events")
