@@ -131,7 +131,7 @@ _TEMPLATE = r"`(?:[^`\\$]|\\[\s\S]|\$(?!\{)|\$\{(?:[^{}`]|\{[^{}]*\}|`[^`]*`)*\}
 
 def _js(ts: bool) -> Language:
     word = "[iIEFWDSCURKTHYfcxMXuyvJqoNPV]"
-    tp = "(?:q?u?[iGABnst]m*[Ap]*(?:a[iGABnst]m*A*)?)"
+    tp = "(?:q?(?:u?[iGABnst]|u)m*[Ap]*(?:a(?:[iGABnst]|u)m*A*)?)"
     typ = f"(?:[|&]?{tp}(?:[|&]{tp})*)"
     ann = f"(?::{typ})?" if ts else ""
     opt = "[?p]?" if ts else ""
@@ -140,7 +140,7 @@ def _js(ts: bool) -> Language:
     heritage = "(?:xi[mG]*(?:,i[mG]*)*)*" if ts else "(?:x[iG][mG]*)?"
     cl = f"ci?{heritage}B"
     arrow = f"y?(?:i|G{ann})a"
-    un = rf"(?:[u\-p]|{arrow})*(?:{fn}|{cl}|[inGABst])[mGAtp]*+" + (f"(?:V{typ})*" if ts else "")
+    un = rf"(?:[u\-p]|{arrow})*(?:{fn}|{cl}|[inGABst])" + ("(?:[mGAtp]|u(?=[mGA;,)]))*+" if ts else "[mGAtp]*+") + (f"(?:V{typ})*" if ts else "")
     e0 = f"{un}(?:{bin_}{un})*"
     ex = f"(?:{_ternary(e0)})"
     ls = _list(f"d?{ex}")
@@ -153,7 +153,7 @@ def _js(ts: bool) -> Language:
     obj = f"{_list(mem)},?"
     imp = f"{_list(f'{word}(?:ii)?')},?"
     sep = r"(?:[;,]|\Z)" if ts else end
-    field = rf"(?:@i[mG]*)*q*y?\*?{key}{opt}(?:G{ann}(?:B|{sep})|{ann}(?:={ex})?{sep})" if ts else rf"q?y?\*?{key}(?:GB|(?:={ex})?{end})"
+    field = rf"(?:@i[mG]*)*q*y?\*?{key}{opt}(?:G{ann}(?:B|{sep})|{ann}(?:={ex})?{sep})" if ts else rf"q*y?\*?{key}(?:GB|(?:={ex})?{end})"
     cls = f"(?:;|qB|{field})*"
     bind = _list(f"(?:i|A|B){'p?' if ts else ''}{ann}(?:={ex})?")
     dec = rf"y?f\*?i?G{ann}B|" + (rf"y?fiG{ann}{end}|" if ts else "") + f"ci?{heritage}B|v{bind}{end}"
@@ -185,11 +185,11 @@ def _js(ts: bool) -> Language:
     special = [(r"import\Z", "M")] + special
 
     def newline(k: str) -> str:
-        k = re.sub(r"(?<=[insGABtp)\]}KR])L+(?=[instfcvIFWDSRKTXMuypCUqNP@])", ";", k)
-        k = re.sub(r"(?<=[KR])L+", ";", k)
+        k = re.sub(r"(?<=[imnsGABtp)\]}KR])L+(?=[instfcvIFWDSRKTXMuypCUqNP@])", ";", k)
+        k = re.sub(r"(?<=[KR])L+|(?<=[imnsGABtp)\]])L+(?=E)", ";", k)
         return k.replace("L", "")
 
-    return Language("typescript" if ts else "javascript", lex, words, ops, special, {"(": paren, "[": brack, "{": f"(?:{block}|{obj}|{cls}|{switch}|{imp})"}, block, r"(?<=[ifcN])<[iInstmGABu,|&=xaqdJV]*>(?!i\b)" if ts else None, newline)
+    return Language("typescript" if ts else "javascript", lex, words, ops, special, {"(": paren, "[": brack, "{": f"(?:{block}|{obj}|{cls}|{switch}|{imp})"}, block, r"(?<=[ifcN])<[iInstmGABu,|&=xaqdJV]*>(?!i\b)" if ts else None, newline, ((r"(?<=[=(,:?aRy])<[iux,=|&A]*>(?=G)", ""),) if ts else ())
 
 
 # --- C and C++
@@ -596,14 +596,14 @@ def _python() -> Language:
     item = f"{ex}(?:V{prim}[mGA]*)?"
     head = {
         "I": f"I{ex}:", "e": f"e{ex}:", "E": "E:", "F": f"y?F{tg}J{ls}:", "W": f"W{ex}:", "T": "T:", "H": rf"H\*?(?:{ex}(?:,{ex})*(?:Vi)?)?:", "Y": "Y:",
-        "w": f"y?w(?:{_list(item)}):", "f": f"y?fiA?G(?:a{ex})?:", "c": "ciA?G?:", "C": f"C{ls}(?:I{ex})?:",
+        "w": f"y?w(?:{_list(item)}):", "f": f"y?fiA?G(?:a{ex})?:", "c": "ciA?G?:", "C": f"C{ls}:", "j": f"j{ls}(?:I{ex})?:",
     }
     lex = (
         r"\#[^\n]*|\\\n|\n(?:[ \t\f]*(?:\#[^\n]*)?\n)*[ \t\f]*|[rbfuRBFU]{0,2}(?:\"\"\"(?:[^\\]|\\[\s\S])*?\"\"\"|'''(?:[^\\]|\\[\s\S])*?'''|" + _STR.replace(r"[^\"", r"[^\"") + "|" + _CHR + ")|"
-        rf"\.\s*[^\W\d]\w*|(?:match|case)(?=[ \t]+[^\s=.,:)\]}}+*/%-][^\n]*:[ \t]*(?:\#[^\n]*)?$)|{_ID}|(?:0[xX][\da-fA-F_]+|0[bBoO][\d_]+|\d[\d_]*(?:\.[\d_]*)?(?:[eE][+-]?\d+)?[jJ]?|\.\d[\d_]*(?:[eE][+-]?\d+)?[jJ]?)(?!\w)|"
+        rf"\.[ \t]*(?!import\b)[^\W\d]\w*|(?:match|case)[ \t]+(?=[^\s=.,:)\]}}+*/%-][^\n]*:[ \t]*(?:\#[^\n]*)?$)|{_ID}|(?:0[xX][\da-fA-F_]+|0[bBoO][\d_]+|\d[\d_]*(?:\.[\d_]*)?(?:[eE][+-]?\d+)?[jJ]?|\.\d[\d_]*(?:[eE][+-]?\d+)?[jJ]?)(?!\w)|"
         r"\.\.\.|\*\*=|//=|>>=|<<=|:=|->|==|!=|<=|>=|<<|>>|\*\*|//|\+=|-=|\*=|/=|%=|&=|\|=|\^=|@=|\S"
     )
-    special = [(r"#|\\\n", ""), (r"[rbfuRBFU]{0,2}[\"'].", "s"), (r"\.\s*[^\W\d]", "m"), (r"\.\.\.", "i"), (r"(?:match|case)\Z", "i"), (r"\n", "L")]
+    special = [(r"#|\\\n", ""), (r"[rbfuRBFU]{0,2}[\"'].", "s"), (r"\.\s*[^\W\d]", "m"), (r"\.\.\.", "i"), (r"match[ \t]", "C"), (r"case[ \t]", "j"), (r"\n", "L")]
     inside = {"(": paren, "[": brack, "{": brace}
     lang = Language("python", "(?m)" + lex, _map(_PY_WORDS), _ops(_PY_OPS), special, inside, line)
     lang.head = [(k, re.compile(f"{v}(?P<rest>{line})?\\Z")) for k, v in head.items()]
@@ -612,7 +612,6 @@ def _python() -> Language:
     return lang
 
 
-#: Kept beside "i" for match and case, whose kind is decided by the whole line.
 _BUILD = {"javascript": lambda: _js(False), "typescript": lambda: _js(True), "c": lambda: _c_like(False), "cpp": lambda: _c_like(True), "csharp": _csharp, "go": _go, "rust": _rust, "python": _python}
 LANGUAGES = tuple(_BUILD)
 
@@ -639,7 +638,7 @@ _GROUPS = {"G": ("(", ")"), "A": ("[", "]"), "B": ("{", "}")}
 def permissible_pairs(name: str) -> frozenset[str]:
     """Two-character strings of kinds that may stand side by side: first, last and follow sets of the productions (Glushkov's construction), a group showing its brackets outside and its content's ends inside."""
     lang = language(name)
-    alphabet = {k for k in [*lang.words.values(), *lang.ops.values(), *"insmtLGAB"] if len(k) == 1} | set("@#")
+    alphabet = {k for k in [*lang.words.values(), *lang.ops.values(), *"insmtLGABCj"] if len(k) == 1} | set("@#")
     pairs: set[tuple[str, str]] = set()
     ends: dict[str, tuple[set, set, bool]] = {}
 
