@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codeloom.functions import code
-from codeloom.operators import edits, extract, graph, impact, nested, stats, store, tree
+from codeloom.operators import edits, extract, graph, impact, nested, spans, stats, store, tree
 from codeloom.sources.tables import table
 from codeloom.streaming import watch
 
@@ -525,3 +525,23 @@ def ast_scope_at_line(spark, d):
 @query()
 def ast_dump(spark, d):
     return tree.dump(tree.with_scope(_nodes(spark, d)))
+
+
+@query()
+def symbol_spans(spark, d):
+    return spans.symbols(_texts(spark, d))
+
+
+@query()
+def function_signatures(spark, d):
+    return spans.signatures(spans.symbols(_texts(spark, d)))
+
+
+@query()
+def source_trees(spark, d):
+    return tree.with_scope(spans.ast(spans.symbols(_texts(spark, d))))
+
+
+@query()
+def source_tree_statistics(spark, d):
+    return tree.categories(tree.with_scope(spans.ast(spans.symbols(_texts(spark, d)))), ["record_id"])
