@@ -41,6 +41,13 @@ IMPORTS = {
     "go": [(r"(?m)^\s*(?:import\s+)?(?:\w+\s+)?\"([^\"\n]+)\"\s*$", "import")],
     "rust": [(r"(?m)^\s*(?:pub\s+)?use\s+([^;]+);", "use")],
 }
+
+
+def steady(pattern: str) -> str:
+    """The same expression with possessive runs of white space: several in a row would else be tried in every split of a long run."""
+    return pattern.replace(r"\s*", r"\s*+").replace(r"\s+", r"\s++")
+
+
 for _t in (FUNCTIONS, CLASSES, IMPORTS):
     _t["typescript"] = _t["javascript"]
 for _t in (FUNCTIONS, CLASSES, IMPORTS):
@@ -65,7 +72,7 @@ def _found(df: DataFrame, table: dict[str, list], groups: int) -> DataFrame:
     pieces = []
     for lang in dict.fromkeys(table):
         for spec in table[lang]:
-            g = [F.regexp_extract_all("text", F.lit(spec[0]), F.lit(i)) for i in range(1, groups + 1)]
+            g = [F.regexp_extract_all("text", F.lit(steady(spec[0])), F.lit(i)) for i in range(1, groups + 1)]
             z = F.arrays_zip(*[c.alias(f"g{i + 1}") for i, c in enumerate(g)])
             pieces.append(F.when(F.col("language") == lang, F.transform(z, _as_row(spec[1], groups))))
     none = F.array().cast("array<struct<kind:string," + ",".join(f"g{i + 1}:string" for i in range(groups)) + ">>")

@@ -13,25 +13,25 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from codeloom.operators.extract import CLASSES, FUNCTIONS, NOT_METHODS
+from codeloom.operators.extract import CLASSES, FUNCTIONS, NOT_METHODS, steady
 
 _SKIP = re.compile(r"//[^\n]*|/\*[\s\S]*?\*/|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`|\{|\}|;|\(|\)")
 _HASH = re.compile(r"#[^\n]*|\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'")
-_RULES = {lang: [(re.compile(p), kind) for p, kind in v] for lang, v in FUNCTIONS.items()}
-_TYPES = {lang: [(re.compile(p), kind) for p, kind, _, _ in v] for lang, v in CLASSES.items()}
+_RULES = {lang: [(re.compile(steady(p)), kind) for p, kind in v] for lang, v in FUNCTIONS.items()}
+_TYPES = {lang: [(re.compile(steady(p)), kind) for p, kind, _, _ in v] for lang, v in CLASSES.items()}
 _RULES["rust"] = [(re.compile(r"(?:pub\s+)?(?:async\s+)?fn\s+(\w+)"), "function")]
-_TYPES["rust"] = _TYPES["rust"] + [(re.compile(r"(?m)^\s*impl(?:<[^>]*>)?\s+(?:[\w:<>, ']+\s+for\s+)?(\w+)()"), "impl")]
+_TYPES["rust"] = _TYPES["rust"] + [(re.compile(r"(?m)^[ \t]*impl\b(?:<[^>\n]*>)?[ \t]+(?:[^{\n]*?\bfor[ \t]+)?(\w+)()"), "impl")]
 _RECEIVER = re.compile(r"func\s+\(\s*\w+\s+\*?(\w+)")
 
 
 def blanked(text: str, lang: str) -> str:
-    """The text with strings and comments blanked out, line ends kept; so positions stay."""
+    """The text with strings and comments covered by a character that is neither space nor word, line ends kept; so positions stay and no long runs of white space arise."""
     rx = _HASH if lang == "python" else _SKIP
     keep = "{};()"
-    return rx.sub(lambda m: m[0] if m[0] in keep else re.sub(r"[^\n]", " ", m[0]), text)
+    return rx.sub(lambda m: m[0] if m[0] in keep else re.sub(r"[^\n]", "\x01", m[0]), text)
 
 
-def _parameters(plain: str, at: int) -> list[str]:
+def _parameters(text: str, plain: str, at: int) -> list[str]:
     """What stands in the round brackets that open at or behind at, split at commas outside inner brackets."""
     i = plain.find("(", at)
     if i < 0 or "\n\n" in plain[at:i]:
@@ -44,10 +44,10 @@ def _parameters(plain: str, at: int) -> list[str]:
         elif c in ")]}>" and plain[j - 1] not in "-=":
             depth -= 1
             if depth == 0:
-                out.append(plain[start:j])
+                out.append(text[start:j])
                 break
         elif c == "," and depth == 1:
-            out.append(plain[start:j])
+            out.append(text[start:j])
             start = j + 1
     return [" ".join(p.split()) for p in out if p.strip()]
 
@@ -100,7 +100,7 @@ def symbols_of(text: str, lang: str) -> list[dict]:
                 line = bisect_right(ends, at - 1)
                 end = _indent_end(lines, line) if lang == "python" else bisect_right(ends, _brace_end(plain, m.end(1), braces) - 1)
                 parent = (m[2] or "").split(",")[0].strip() if what == "class" and m.re.groups > 1 else ""
-                out.append({"symbol_type": what, "kind": kind, "name": name, "start_line": line + 1, "end_line": max(end, line) + 1, "parameters": _parameters(plain, m.end(1)) if what == "function" else [], "is_async": what == "function" and re.search(r"\basync\b", m[0]) is not None, "parent_class": parent or None, "receiver": (r[1] if (r := _RECEIVER.match(m[0])) else None) if lang == "go" and what == "function" else None})
+                out.append({"symbol_type": what, "kind": kind, "name": name, "start_line": line + 1, "end_line": max(end, line) + 1, "parameters": _parameters(text, plain, m.end(1)) if what == "function" else [], "is_async": what == "function" and re.search(r"\basync\b", m[0]) is not None, "parent_class": parent or None, "receiver": (r[1] if (r := _RECEIVER.match(m[0])) else None) if lang == "go" and what == "function" else None})
     out.sort(key=lambda s: (s["start_line"], -s["end_line"], s["symbol_type"]))
     open_: list[int] = []
     for i, s in enumerate(out):
