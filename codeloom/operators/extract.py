@@ -38,7 +38,7 @@ IMPORTS = {
     "python": [(r"(?m)^\s*from\s+([a-zA-Z_][a-zA-Z0-9_.]*)\s+import\s+.+", "from"), (r"(?m)^\s*import\s+([a-zA-Z_][a-zA-Z0-9_.]*)", "import")],
     "cpp": [(r"#include\s*[<\"]([^>\"\n]+)[>\"]", "include")],
     "csharp": [(r"using\s+([^;=()]+);", "using")],
-    "go": [(r"(?m)^\s*(?:import\s+)?(?:\w+\s+)?\"([^\"\n]+)\"\s*$", "import")],
+    "go": [(r"(?m)^\s*(?:import\s+)?(?:\w+\s+)?\"([^\"\n]+)\"[ \t\r]*$", "import")],
     "rust": [(r"(?m)^\s*(?:pub\s+)?use\s+([^;]+);", "use")],
 }
 
