@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
+# fixed value: the characters with the Unicode property White_Space
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def trim_white(c: Column) -> Column:
     """Trims all Unicode white space, not only blanks."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.trim(c, F.lit(WHITE))
 
 
 def canonical_id(c: Column) -> Column:
