@@ -606,8 +606,8 @@ def _python() -> Language:
     special = [(r"#|\\\n", ""), (r"[rbfuRBFU]{0,2}[\"'].", "s"), (r"\.\s*[^\W\d]", "m"), (r"\.\.\.", "i"), (r"match[ \t]", "C"), (r"case[ \t]", "j"), (r"\n", "L")]
     inside = {"(": paren, "[": brack, "{": brace}
     lang = Language("python", "(?m)" + lex, _map(_PY_WORDS), _ops(_PY_OPS), special, inside, line)
-    lang.head = [(k, re.compile(f"{v}(?P<rest>{line})?\\Z")) for k, v in head.items()]
-    lang.sources |= {f"head {k}": v + f"(?:{line})?" for k, v in head.items()} | {"decorator": f"@{ex}"}
+    lang.head = [(k, re.compile(f"{v}(?P<rest>.*)\\Z")) for k, v in head.items()]  # the rest is a line of its own
+    lang.sources |= {f"head {k}": v for k, v in head.items()} | {"decorator": f"@{ex}"}
     lang.decorator = re.compile(f"@{ex}\\Z")
     return lang
 
@@ -705,5 +705,6 @@ def permissible_pairs(name: str) -> frozenset[str]:
         out |= {show_l(a) + show_f(b) for a in inner for b in inner} | {show_l(a) + ">" for a in inner} | {"<" + show_f(a) for a in inner}
         out |= {">" + show_f(x) for x in alphabet} | {show_l(x) + "<" for x in alphabet}
     if name == "python":
+        out |= {":" + show_f(x) for x in ends["top"][0]}
         out |= {x + "L" for x in map(show_l, alphabet)} | {"L" + x for x in map(show_f, alphabet)} | {"(L", "[L", "{L", "L)", "L]", "L}", ",L"}
     return frozenset(out)

@@ -30,7 +30,7 @@ DATA = 0.5
 #: Share of a file's five-word shingles found in one library's files from which it counts as a copy.
 COPY = 0.8
 #: Library shingles are sent to every task; more than these are refused.
-MAX_SHINGLES = 5_000_000
+MAX_SHINGLES = 1_000_000
 #: Score from which a file that says nothing counts as not hand-written. Only some of such files say so, hence far below one half.
 THRESHOLD = 0.18
 
