@@ -15,7 +15,7 @@ GOOD = {
     "rust": ["use a::b::{c, d as e};\n#[derive(Debug)]\npub struct S<'a, T: Clone> { pub a: &'a str, b: Vec<T> }\nenum E { A, B(i32), C { x: u8 } }\nimpl<'a, T> Tr for S<'a, T> where T: X {\n    pub(crate) fn f(&mut self, x: Option<&str>) -> Result<(), Box<dyn Er>> {\n        let Some(y) = x else { return Ok(()) };\n        let v = z.iter().map(|&q| q + 1).collect::<Vec<_>>();\n        match y { 1 | 2 => g()?, n if n > 3 => { h() } _ => panic!(\"{}\", r#\"}\"#) }\n        for i in 0..10 { while let Some(k) = st.pop() { break; } }\n        if a { 'x' } else { b }\n    }\n}\n"],
 }
 BROKEN = {
-    "python": ["def f(:\n", "if a:\nb\n", "x = 1\n  y = 2\n", "print 'a', b\n", "<<<<<<< HEAD\n", "try:\n    a\n", "a = (1\n", "please check this part\n", "x = \n", "\0", "print(“a”)\n"],
+    "python": ["def f(:\n", "if a:\nb\n", "x = 1\n  y = 2\n", "print 'a', b\n", "<<<<<<< HEAD\n", "try:\n    a\n", "a = (1\n", "if a:\n\tif b:\n\t\tc\n   \t\td\n", "please check this part\n", "x = \n", "\0", "print(“a”)\n"],
     "javascript": ["function f( { }", "const x = ;", "<<<<<<< HEAD\na()\n", "let x: number = 1;", "please check this part\n", "if (a &lt; b) {}", "<%= x %>", "if (a &amp;&amp; b) {}", "class A { m() { }", "try { a() }\n", "x = 'abc\n"],
     "typescript": ["func (s *S) F() {}", "interface I { a: ", "const x: = 1", ">>>>>>> x\n", "{% if x %}"],
     "c": ["int f( { return 1; }", "namespace a { }", "class A { public: int x; };", "int x = ;", "please check this part\nint y;", "=======\n", "int f() { return 1; "],
