@@ -26,7 +26,7 @@ from codeloom.session import Stage
 #: Rows the forest is fitted on at most: a share of all that a hash of file_id picks.
 TRAINING_ROWS = 6000
 #: Share of literals from which a file is data.
-DATA = 0.5
+DATA = 0.6
 #: Share of a file's five-word shingles found in one library's files from which it counts as a copy.
 COPY = 0.8
 #: Library shingles are sent to every task; more than these are refused.
