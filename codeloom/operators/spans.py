@@ -31,9 +31,41 @@ def blanked(text: str, lang: str) -> str:
     return rx.sub(lambda m: m[0] if m[0] in keep else re.sub(r"[^\n]", "\x01", m[0]), text)
 
 
+def _generic_end(plain: str, at: int) -> int:
+    """Position behind the angle brackets that open at at (their bounds may hold round ones); at itself where none do."""
+    if plain[at : at + 1] != "<":
+        return at
+    depth = 0
+    for j in range(at, len(plain)):
+        if plain[j] == "<":
+            depth += 1
+        elif plain[j] == ">" and plain[j - 1] not in "-=":
+            depth -= 1
+            if depth == 0:
+                return j + 1
+    return at
+
+
+def _lambda_parameters(text: str, plain: str, at: int) -> list[str]:
+    """What stands between the word lambda, which ends at at, and its colon."""
+    depth, start, out = 0, at, []
+    for j in range(at, len(plain)):
+        c = plain[j]
+        if c in "([{":
+            depth += 1
+        elif c in ")]}":
+            depth -= 1
+        elif depth == 0 and c in ",:":
+            out.append(text[start:j])
+            start = j + 1
+            if c == ":":
+                break
+    return [" ".join(p.split()) for p in out if p.strip()]
+
+
 def _parameters(text: str, plain: str, at: int) -> list[str]:
     """What stands in the round brackets that open at or behind at, split at commas outside inner brackets."""
-    i = plain.find("(", at)
+    i = plain.find("(", _generic_end(plain, at))
     if i < 0 or "\n\n" in plain[at:i]:
         return []
     depth, start, out = 0, i + 1, []
@@ -100,7 +132,7 @@ def symbols_of(text: str, lang: str) -> list[dict]:
                 line = bisect_right(ends, at - 1)
                 end = _indent_end(lines, line) if lang == "python" else bisect_right(ends, _brace_end(plain, m.end(1), braces) - 1)
                 parent = (m[2] or "").split(",")[0].strip() if what == "class" and m.re.groups > 1 else ""
-                out.append({"symbol_type": what, "kind": kind, "name": name, "start_line": line + 1, "end_line": max(end, line) + 1, "parameters": _parameters(text, plain, m.end(1)) if what == "function" else [], "is_async": what == "function" and re.search(r"\basync\b", m[0]) is not None, "parent_class": parent or None, "receiver": (r[1] if (r := _RECEIVER.match(m[0])) else None) if lang == "go" and what == "function" else None})
+                out.append({"symbol_type": what, "kind": kind, "name": name, "start_line": line + 1, "end_line": max(end, line) + 1, "parameters": (_lambda_parameters(text, plain, m.end()) if kind == "lambda" else _parameters(text, plain, m.end(1))) if what == "function" else [], "is_async": what == "function" and re.search(r"\basync\b", m[0]) is not None, "parent_class": parent or None, "receiver": (r[1] if (r := _RECEIVER.match(m[0])) else None) if lang == "go" and what == "function" else None})
     out.sort(key=lambda s: (s["start_line"], -s["end_line"], s["symbol_type"]))
     open_: list[int] = []
     for i, s in enumerate(out):

@@ -396,6 +396,14 @@ def likely_changes(spark, d):
     return impact.likely_changed(impact.with_usage(f, extract.calls(t))).select("repo", "path", "name", "n_params", "uses", "likely", "breaking")
 
 
+@query()
+def likely_changes_by_parameters(spark, d):
+    """The rule over each function's true number of parameters; likely_changes, like its SQL, has the number of same-named matches of a file in that place."""
+    t = _texts(spark, d)
+    f = spans.signatures(spans.symbols(t)).select("repo", "path", "owner_class", "name", "n_params")
+    return impact.likely_changed(impact.with_usage(f, extract.calls(t))).select("repo", "path", "owner_class", "name", "n_params", "uses", "likely", "breaking")
+
+
 # --- notes and events
 
 
