@@ -52,6 +52,16 @@ for _t in (FUNCTIONS, CLASSES, IMPORTS):
     _t["typescript"] = _t["javascript"]
 for _t in (FUNCTIONS, CLASSES, IMPORTS):
     _t["c"] = _t["cpp"]
+# imports with the list of names they bring in, groups: module and list, for JavaScript list and module. Relative imports of Python are among them
+NAMED_IMPORTS = {k: [(p + "()", kind) for p, kind in v] for k, v in IMPORTS.items()}
+NAMED_IMPORTS["python"] = [
+    (r"(?m)^\s*from\s+([.\w]+)\s+import\b\s*(\([^)]*\)|[^\\\n;#]*(?:\\\r?\n[^\\\n;#]*)*)", "from"),
+    (r"(?m)^\s*import\s+()([a-zA-Z_][^\n;#]*)", "import"),
+]
+NAMED_IMPORTS["javascript"] = NAMED_IMPORTS["typescript"] = [
+    (r"(?m)^\s*import\b\s*(?:([^'\";]*?)\bfrom\s*)?['\"]([^'\"]+)['\"]", "es6"),
+    (r"(?:\b(?:const|let|var)\s+(\{[^{}]*\}|\w+)\s*=\s*)?require\(\s*['\"]([^'\"]+)['\"]\s*\)", "commonjs"),
+]
 EXPORTS = {"javascript": [(r"(?m)^\s*export\s+(?:default\s+)?(?:async\s+)?(?:function|class|const|let|var)\s+(\w+)", "named")]}
 EXPORTS["typescript"] = EXPORTS["javascript"]
 CALL = r"(?:(\w+)\.)?(\w+)\s*\("
@@ -99,6 +109,20 @@ def imports(sources: DataFrame) -> DataFrame:
     return _found(sources, IMPORTS, 1).withColumn("module", F.trim("g1")).drop("g1")
 
 
+def named_imports(sources: DataFrame) -> DataFrame:
+    """(repo, path, language, kind, module, imported_names): each import with the names it brings in, as their file calls them, not by their alias; the words of the module are among the names."""
+    i = _found(sources, NAMED_IMPORTS, 2)
+    js = F.col("language").isin("javascript", "typescript")
+    listed, module = F.when(js, F.col("g1")).otherwise(F.col("g2")), F.trim(F.when(js, F.col("g2")).otherwise(F.col("g1")))
+    # comments, aliases, new names of destructured ones, the word type of type imports
+    plain = F.regexp_replace(listed, r"//[^\n]*|/\*[\s\S]*?\*/|#[^\n]*", " ")
+    plain = F.regexp_replace(plain, r"\s+as\s+\w+|:\s*\w+", "")
+    plain = F.when(js, F.regexp_replace(plain, r"\btype\s+(?=\w)|\btype\s*(?=\{)", "")).otherwise(plain)
+    names = F.array_distinct(F.concat(F.split(module, r"[^\w]+"), F.split(plain, r"[^\w]+")))
+    module = F.when((F.col("language") == "python") & (F.col("kind") == "import"), F.regexp_extract("g2", r"^[\w.]+", 0)).otherwise(module)
+    return i.select("repo", "path", "language", "kind", module.alias("module"), F.filter(names, lambda x: x != "").alias("imported_names"))
+
+
 def exports(sources: DataFrame) -> DataFrame:
     return _found(sources, EXPORTS, 1).withColumnRenamed("g1", "name")
 

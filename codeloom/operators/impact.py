@@ -52,12 +52,14 @@ def references(symbols: DataFrame, calls: DataFrame, imports: DataFrame, exports
     """(name, symbol_file, file, usage_type, n): where changed symbols (name, path) are called, imported, exported, defined again, constructed or inherited.
 
     All are equi-joins: a call counts if one of the parts of its full name is the symbol's name, which a split and an
-    explode turn into keys; so there is no nested loop over symbols and calls. Empty names refer to nothing.
+    explode turn into keys; so there is no nested loop over symbols and calls. Empty names refer to nothing. An import counts
+    by the words of its module, and by the names it brings in if it has a column imported_names (extract.named_imports).
     """
     s = symbols.where(F.length("name") > 0).select("name", F.col("path").alias("symbol_file"), "symbol_type").distinct()
     plain = s.select("name", "symbol_file").distinct()
     call = calls.select("path", F.explode(F.array_distinct(F.array_compact(F.array("object", "function")))).alias("name"), F.lit("call").alias("usage_type"))
-    imp = imports.select("path", F.explode(F.array_distinct(F.split("module", r"[^\w]+"))).alias("name"), F.lit("import").alias("usage_type"))
+    brought = F.col("imported_names") if "imported_names" in imports.columns else F.array_distinct(F.split("module", r"[^\w]+"))
+    imp = imports.select("path", F.explode(brought).alias("name"), F.lit("import").alias("usage_type"))
     exp = exports.select("path", "name", F.lit("export").alias("usage_type"))
     base = classes.select("path", F.col("parent").alias("name"), F.lit("inheritance").alias("usage_type"))
     used = call.unionByName(imp).unionByName(exp).unionByName(base).where(F.length("name") > 0).groupBy("path", "name", "usage_type").agg(F.count("*").alias("n"))

@@ -384,6 +384,39 @@ def top_references(spark, d):
     return impact.top_references(_refs(spark, d))
 
 
+# The five queries above and their SQL find imports by the words of their modules alone; these find all references.
+
+
+def _all_refs(spark: SparkSession, d: str) -> DataFrame:
+    t = _texts(spark, d)
+    return impact.references(_changed(spark, d), extract.calls(t), extract.named_imports(t), extract.exports(t), extract.functions(t), extract.classes(t))
+
+
+@query()
+def symbol_references_all(spark, d):
+    return _all_refs(spark, d)
+
+
+@query()
+def risk_levels_all(spark, d):
+    return impact.with_risk(_changed(spark, d), _all_refs(spark, d)).select("name", "path", "change_type", "breaking", F.col("references"), "risk_level")
+
+
+@query()
+def impact_totals_all(spark, d):
+    return impact.totals(impact.with_risk(_changed(spark, d), _all_refs(spark, d)))
+
+
+@query()
+def affected_files_all(spark, d):
+    return impact.affected_files(_changed(spark, d), _all_refs(spark, d))
+
+
+@query()
+def top_references_all(spark, d):
+    return impact.top_references(_all_refs(spark, d))
+
+
 @query("SELECT count(*) FILTER (WHERE l = 'high') AS high, count(*) FILTER (WHERE l = 'medium') AS medium, count(*) FILTER (WHERE l = 'low') AS low, count(*) FILTER (WHERE breaking_change) AS breaking, count(*) AS changes, CASE WHEN count(*) FILTER (WHERE breaking_change) > 5 OR count(*) FILTER (WHERE l = 'high') > 10 THEN 'high' WHEN count(*) FILTER (WHERE breaking_change) > 0 OR count(*) FILTER (WHERE l = 'high') > 0 OR count(*) FILTER (WHERE l = 'medium') > 5 THEN 'medium' ELSE 'low' END AS overall FROM (SELECT *, lower(risk_level) AS l FROM changed_symbols)")
 def risk_assessment(spark, d):
     return stats.risk_assessment(table(spark, d, "changed_symbols"))

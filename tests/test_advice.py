@@ -32,3 +32,22 @@ def test_likely_changes_take_parameters(spark, rows, tables):
     # every head before a bracket counts as a call of its name
     want = [("a.py", "four", 4, 1, True, True), ("a.py", "three", 3, 0, True, False), *[("a.py", "same", 0, 4, True, True)] * 4, ("b.rs", "two", 2, 0, False, False)]
     assert rows(got.select("path", "name", "n_params", "uses", "likely", "breaking")) == sorted(want, key=str)
+
+
+CHANGED = "name STRING, file_path STRING, symbol_type STRING, change_type STRING, breaking_change BOOLEAN"
+
+
+def test_imported_names_are_references(spark, rows, tables):
+    texts = {
+        "a.py": "from cli import split_timer\nfrom .m import (one,  # two\n    three as four)\nfrom m import five, \\\n    six\nimport os.path as seven, eight\n",
+        "b.js": "import nine, { ten as eleven, type Twelve } from './m'\nimport * as thirteen from './fourteen'\nconst { a15, b16: c17 } = require('./m')\nimport{d18}from'./m'\nimport type { E19 } from './m'\n",
+    }
+    yes = ["split_timer", "one", "three", "five", "six", "path", "eight", "nine", "ten", "Twelve", "fourteen", "a15", "b16", "d18", "E19"]
+    no = ["two", "four", "seven", "eleven", "thirteen", "c17", "type", "as"]
+    d = tables(source_files=_files(texts), changed_symbols=([(n, "x.py", "function", "function_removed", False) for n in yes + no], CHANGED))
+    q = entry.queries()
+    got = q["symbol_references_all"](spark, d).where("usage_type = 'import'")
+    assert rows(got.select("name", "n")) == sorted([(n, 1) for n in yes], key=str)
+    assert {r.name for r in q["risk_levels_all"](spark, d).where("risk_level = 'high'").collect()} == set(yes)
+    assert {r.path for r in q["affected_files_all"](spark, d).collect()} == {"a.py", "b.js", "x.py"}
+    assert q["impact_totals_all"](spark, d).first().references == len(yes) and q["top_references_all"](spark, d).count() == len(yes)
