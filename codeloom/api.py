@@ -67,7 +67,7 @@ class Analysis:
         sig = lambda a: a.signatures().select(*keys, "signature")
         changed = impact.symbol_diff(sig(before), sig(self), keys, "signature", impact.usage(calls))
         changed = changed.withColumn("symbol_type", F.lit("function"))
-        refs = impact.references(changed, calls, extract.named_imports(self.sources), extract.exports(self.sources), extract.functions(self.sources), extract.classes(self.sources))
+        refs = impact.references(changed, calls, extract.named_imports(self.sources), extract.exports(self.sources), extract.functions(self.sources), extract.classes(self.sources), within=True)
         return impact.with_risk(changed, refs), refs
 
 

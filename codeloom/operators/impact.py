@@ -48,21 +48,39 @@ def symbol_diff(old: DataFrame, new: DataFrame, keys: list[str], value: str, use
     return d.withColumn("breaking", (F.col("change_type") != "function_added") & (F.col("uses") > 0))
 
 
-def references(symbols: DataFrame, calls: DataFrame, imports: DataFrame, exports: DataFrame, functions: DataFrame, classes: DataFrame) -> DataFrame:
+def containing(names: DataFrame, texts: DataFrame) -> DataFrame:
+    """names (name) and texts (text) → (text, name): the distinct names that each distinct text contains.
+
+    Each text's substrings of the lengths that names have are equi-joined with the names: no pair is tried in vain.
+    """
+    n = names.where(F.length("name") > 0).select("name").distinct()
+    sizes = n.select(F.length("name").alias("size")).distinct()
+    t = texts.where(F.length("text") > 0).select("text").distinct()
+    sized = t.select("text", F.explode(F.sequence(F.lit(1), F.length("text"))).alias("size")).join(sizes, "size")
+    parts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - F.col("size") + 1), lambda i: F.substring(F.col("text"), i, F.col("size"))))
+    return sized.select("text", F.explode(parts).alias("name")).join(n, "name").select("text", "name")
+
+
+def references(symbols: DataFrame, calls: DataFrame, imports: DataFrame, exports: DataFrame, functions: DataFrame, classes: DataFrame, within: bool = False) -> DataFrame:
     """(name, symbol_file, file, usage_type, n): where changed symbols (name, path) are called, imported, exported, defined again, constructed or inherited.
 
     All are equi-joins: a call counts if one of the parts of its full name is the symbol's name, which a split and an
     explode turn into keys; so there is no nested loop over symbols and calls. Empty names refer to nothing. An import counts
     by the words of its module, and by the names it brings in if it has a column imported_names (extract.named_imports).
+    With within, a call also counts if its full name contains the symbol's name anywhere.
     """
     s = symbols.where(F.length("name") > 0).select("name", F.col("path").alias("symbol_file"), "symbol_type").distinct()
     plain = s.select("name", "symbol_file").distinct()
     call = calls.select("path", F.explode(F.array_distinct(F.array_compact(F.array("object", "function")))).alias("name"), F.lit("call").alias("usage_type"))
     brought = F.col("imported_names") if "imported_names" in imports.columns else F.array_distinct(F.split("module", r"[^\w]+"))
+    if within:  # the full name contains each of its parts, so this is both branches; calls are counted before they are joined
+        full = calls.select("path", code.full_call(F.col("function"), F.col("object"), F.col("is_method")).alias("text")).groupBy("path", "text").agg(F.count("*").alias("n"))
+        call = full.join(containing(plain, full), "text").select("path", "name", F.lit("call").alias("usage_type"), "n")
     imp = imports.select("path", F.explode(brought).alias("name"), F.lit("import").alias("usage_type"))
     exp = exports.select("path", "name", F.lit("export").alias("usage_type"))
     base = classes.select("path", F.col("parent").alias("name"), F.lit("inheritance").alias("usage_type"))
-    used = call.unionByName(imp).unionByName(exp).unionByName(base).where(F.length("name") > 0).groupBy("path", "name", "usage_type").agg(F.count("*").alias("n"))
+    one = imp.unionByName(exp).unionByName(base).withColumn("n", F.lit(1).cast("bigint"))
+    used = one.unionByName(call if within else call.withColumn("n", F.lit(1).cast("bigint"))).where(F.length("name") > 0).groupBy("path", "name", "usage_type").agg(F.sum("n").alias("n"))
     r = plain.join(used, "name").select("name", "symbol_file", F.col("path").alias("file"), "usage_type", "n")
     again = functions.select(F.col("path").alias("file"), "name").groupBy("file", "name").agg(F.count("*").alias("n"))
     defined = plain.join(again, "name").where(F.col("file") != F.col("symbol_file")).select("name", "symbol_file", "file", F.lit("definition").alias("usage_type"), "n")

@@ -384,12 +384,12 @@ def top_references(spark, d):
     return impact.top_references(_refs(spark, d))
 
 
-# The five queries above and their SQL find imports by the words of their modules alone; these find all references.
+# The five queries above and their SQL find imports by the words of their modules alone and calls by a part that equals the name; these find all references.
 
 
 def _all_refs(spark: SparkSession, d: str) -> DataFrame:
     t = _texts(spark, d)
-    return impact.references(_changed(spark, d), extract.calls(t), extract.named_imports(t), extract.exports(t), extract.functions(t), extract.classes(t))
+    return impact.references(_changed(spark, d), extract.calls(t), extract.named_imports(t), extract.exports(t), extract.functions(t), extract.classes(t), within=True)
 
 
 @query()

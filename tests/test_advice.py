@@ -51,3 +51,15 @@ def test_imported_names_are_references(spark, rows, tables):
     assert {r.name for r in q["risk_levels_all"](spark, d).where("risk_level = 'high'").collect()} == set(yes)
     assert {r.path for r in q["affected_files_all"](spark, d).collect()} == {"a.py", "b.js", "x.py"}
     assert q["impact_totals_all"](spark, d).first().references == len(yes) and q["top_references_all"](spark, d).count() == len(yes)
+
+
+def test_calls_whose_full_name_contains_the_symbol(spark, rows, tables):
+    texts = {"a.py": "split_timer(1)\npool.timers(2)\nx.y(split_timer(3))\ntimer()\ntimer.go()\nTimer()\n", "b.js": "aaaa(aa());\n"}
+    names = ["timer", "l.t", "a", "aa", "x.y", "", "none", "x.y.z"]
+    d = tables(source_files=_files(texts), changed_symbols=([(n, "x.py", "function", "function_added", False) for n in names], CHANGED))
+    full = {"a.py": ["split_timer", "pool.timers", "x.y", "split_timer", "timer", "timer.go", "Timer"], "b.js": ["aaaa", "aa"]}
+    want = [(n, f, k) for n in names if n for f, calls in full.items() if (k := sum(n in c for c in calls))]
+    got = entry.queries()["symbol_references_all"](spark, d).where("usage_type = 'call'")
+    assert rows(got.select("name", "file", "n")) == sorted(want, key=str)
+    risk = {r.name: r.risk_level for r in entry.queries()["risk_levels_all"](spark, d).collect()}
+    assert risk["timer"] == "medium" and risk["none"] == "low"
