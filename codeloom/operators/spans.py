@@ -147,6 +147,61 @@ def symbols_of(text: str, lang: str) -> list[dict]:
     return out
 
 
+_C_LIKE = r"(?<![.\w$#@])(?:(?:if|for|foreach|while|switch)\b(?:\s+(?:constexpr|await))?\s*\(|try\b\s*\{)"
+# control structures: branches, loops, switches and try blocks; Python's only where a statement can begin
+_CONTROL = {
+    "python": re.compile(r"(?m)^[ \t]*(?:(?:if|elif|while|for|async[ \t]+for|try)\b|match[ \t]+[^=\n]+:[ \t\x01]*$)"),
+    "go": re.compile(r"(?<![.\w])(?:if|for|switch|select)\b"),
+    "rust": re.compile(r"(?<![.\w'#])(?:if|while|loop|match|for(?=\s[^{;]*?\bin\b))\b"),
+    "csharp": re.compile(_C_LIKE + r"|(?<=\s)switch\s*\{"),
+}
+_CONTROL |= dict.fromkeys(("javascript", "typescript", "c", "cpp"), re.compile(_C_LIKE))
+
+
+def control_lines(text: str, lang: str) -> list[int]:
+    """The lines (from 1) of the control structures of a text, outside strings, comments and preprocessor lines."""
+    plain = blanked(text.replace("\r\n", "\n").replace("\r", "\n"), lang)
+    if lang in ("c", "cpp", "csharp"):
+        plain = re.sub(r"(?m)^[ \t]*#[^\n]*", lambda m: "\x01" * len(m[0]), plain)
+    ends = [m.start() for m in re.finditer("\n", plain)]
+    at = [m.start() for m in _CONTROL[lang].finditer(plain)]
+    if lang == "python":  # lines inside brackets or behind a backslash continue an expression
+        marks = [(m.start(), 1 if m[0] in "([{" else -1) for m in re.finditer(r"[()\[\]{}]", plain)]
+        depth, i, kept = 0, 0, []
+        for p in at:
+            while i < len(marks) and marks[i][0] < p:
+                depth = max(0, depth + marks[i][1])
+                i += 1
+            if depth == 0 and plain[max(0, p - 2) : p] != "\\\n":
+                kept.append(p)
+        at = kept
+    return [bisect_right(ends, p - 1) + 1 for p in at] if lang == "python" else [bisect_right(ends, p) + 1 for p in at]
+
+
+def complexity_of(text: str, lang: str) -> list[dict]:
+    """Each function of a text with control, the structures of which it is the innermost function, and file_control, all of the file."""
+    f = [s | {"number": i} for i, s in enumerate(symbols_of(text, lang)) if s["symbol_type"] == "function" and s["name"] not in NOT_METHODS]
+    lines = control_lines(text, lang)
+    own = [0] * len(f)
+    open_, i = [], 0  # of the functions around a line, the last to begin is on top
+    for n in lines:
+        while i < len(f) and f[i]["start_line"] <= n:
+            open_.append(i)
+            i += 1
+        while open_ and f[open_[-1]]["end_line"] < n:
+            open_.pop()
+        if open_:
+            own[open_[-1]] += 1
+    return [s | {"control": c, "file_control": len(lines)} for s, c in zip(f, own)]
+
+
+def _run_complexity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = [{"repo": repo, "path": path, "language": lang} | {k: s[k] for k in ("owner_class", "name", "number", "start_line", "end_line", "control", "file_control")} for repo, path, lang, text in zip(*[b.column(i).to_pylist() for i in range(4)]) for s in complexity_of(text, lang)]
+        yield pa.RecordBatch.from_pylist(rows, _COMPLEXITY)
+
+
+_COMPLEXITY = pa.schema([*[(c, pa.string()) for c in ("repo", "path", "language", "owner_class", "name")], *[(c, pa.int32()) for c in ("number", "start_line", "end_line", "control", "file_control")]])
 _COLS = [("symbol_type", pa.string()), ("kind", pa.string()), ("name", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("parameters", pa.list_(pa.string())), ("is_async", pa.bool_()), ("parent_class", pa.string()), ("owner_class", pa.string()), ("number", pa.int32()), ("parent", pa.int32())]
 _SCHEMA = pa.schema([("repo", pa.string()), ("path", pa.string()), ("language", pa.string()), *_COLS])
 _DDL = "repo STRING, path STRING, language STRING, symbol_type STRING, kind STRING, name STRING, start_line INT, end_line INT, parameters ARRAY<STRING>, is_async BOOLEAN, parent_class STRING, owner_class STRING, number INT, parent INT"
@@ -172,6 +227,12 @@ def symbols(sources: DataFrame) -> DataFrame:
     return s.select("repo", "path", "language", "text").mapInArrow(_run, _DDL)
 
 
+def complexity(sources: DataFrame) -> DataFrame:
+    """(repo, path, language, owner_class, name, number, start_line, end_line, control, file_control): functions with the control structures of their own, those of functions inside them aside, and of their file."""
+    s = sources.where(F.col("language").isin(list(_RULES)) & F.col("text").isNotNull())
+    return s.select("repo", "path", "language", "text").mapInArrow(_run_complexity, "repo STRING, path STRING, language STRING, owner_class STRING, name STRING, number INT, start_line INT, end_line INT, control INT, file_control INT")
+
+
 def signatures(symbol: DataFrame) -> DataFrame:
     """Functions with their signature, ``name(p, q)``."""
     f = symbol.where("symbol_type = 'function'")

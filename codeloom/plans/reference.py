@@ -116,6 +116,19 @@ def complexity_buckets(spark, d):
     return stats.bucket_counts(stats.spread_complexity(s))
 
 
+@query()
+def control_complexity_buckets(spark, d):
+    """complexity_buckets, like its SQL, has a file's rows of symbols in place of its control structures; here they are counted in the text."""
+    c = spans.complexity(_texts(spark, d)).groupBy("repo", "path").agg(F.count("*").alias("functions"), F.max("file_control").alias("control"))
+    return stats.bucket_counts(stats.spread_complexity(c))
+
+
+@query()
+def function_complexity(spark, d):
+    """The true score of each function: 1 and its own control structures."""
+    return spans.complexity(_texts(spark, d)).select("repo", "path", "owner_class", "name", "number", "start_line", "end_line", (F.col("control") + 1).alias("score"))
+
+
 @query(
     """SELECT file_id, repo, path, name, language, size_bytes, total_lines, code_lines, comment_lines, empty_lines, code_ratio FROM files WHERE file_id IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY analyzed_at DESC NULLS LAST, ingested_at DESC NULLS LAST, repo DESC NULLS LAST, path DESC NULLS LAST, name DESC NULLS LAST, language DESC NULLS LAST, size_bytes DESC NULLS LAST, total_lines DESC NULLS LAST, code_lines DESC NULLS LAST, comment_lines DESC NULLS LAST, empty_lines DESC NULLS LAST, code_ratio DESC NULLS LAST) = 1"""

@@ -63,3 +63,22 @@ def test_calls_whose_full_name_contains_the_symbol(spark, rows, tables):
     assert rows(got.select("name", "file", "n")) == sorted(want, key=str)
     risk = {r.name: r.risk_level for r in entry.queries()["risk_levels_all"](spark, d).collect()}
     assert risk["timer"] == "medium" and risk["none"] == "low"
+
+
+def test_complexity_counts_control_structures(spark, rows, tables):
+    py = 'def f(a):\n    "if this"\n    if a:  # for\n        for x in [\n            y\n            for y in a\n            if y\n        ]:\n            pass\n    elif b if c else d:\n        try:\n            pass\n        except E:\n            pass\n    def g():\n        while 1:\n            pass\n    match a:\n        case 1: pass\n\nwhile 0:\n    match = 1\n'
+    texts = {
+        "a.py": py,
+        "b.js": 'function f(x) {\n  // if (a) {\n  if (x) { x.for(1); } else if (y) { "while (1)"; }\n  for (;;) { switch (x) { } }\n  try { } catch (e) { }\n  do { } while (x);\n}\n',
+        "c.rs": "impl A for B {\n    fn f(x: i32) {\n        for i in 0..3 { loop { match i { _ => {} } } }\n        if x > 1 { } else if x > 0 { }\n    }\n}\n",
+        "d.cpp": "#if X\n#endif\nint f(int a) {\n  if (a) {\n  } else if (b) {\n  }\n  return 1;\n}\n",
+        "e.go": "func F() {\n\tfor {\n\t}\n\tif a {\n\t}\n}\nfunc G() {\n}\n",
+        "f.py": "".join(f"A{i} = {i}\n" for i in range(99)) + "def f(): pass\n",
+        "g.py": "def f(a):\n" + "    if a: pass\n" * 25,
+    }
+    d = tables(source_files=_files(texts))
+    got = rows(entry.queries()["function_complexity"](spark, d).select("path", "name", "score"))
+    want = [("a.py", "f", 6), ("a.py", "g", 2), ("b.js", "f", 7), ("c.rs", "f", 6), ("d.cpp", "f", 3), ("e.go", "F", 3), ("e.go", "G", 1), ("f.py", "f", 1), ("g.py", "f", 26)]
+    assert got == sorted(want, key=str)
+    # 7 // 2, 6, 5, 2, 2 // 2, 0 and 25 structures a function
+    assert rows(entry.queries()["control_complexity_buckets"](spark, d).select("bucket", "functions", "files")) == [("low", 6, 4), ("medium", 2, 2), ("very_high", 1, 1)]
