@@ -284,6 +284,32 @@ def import_edges(spark, d):
     return graph.edges(extract.imports(t), t)
 
 
+@query()
+def import_degrees(spark, d):
+    t = _texts(spark, d)
+    return graph.degrees(graph.edges(extract.imports(t), t))
+
+
+@query()
+def import_cycles(spark, d):
+    t = _texts(spark, d)
+    return graph.cycles(graph.edges(extract.imports(t), t))
+
+
+@query()
+def import_reach(spark, d):
+    """Every file that a file imports, directly or through others, and the fewest steps; from all files."""
+    t = _texts(spark, d)
+    return graph.reachable(graph.edges(extract.imports(t), t))
+
+
+@query()
+def import_impact(spark, d):
+    """Every file that imports a file, directly or through others, and the fewest steps; from all files."""
+    t = _texts(spark, d)
+    return graph.reachable(graph.edges(extract.imports(t), t), backwards=True)
+
+
 # --- changes, references, risk
 
 _KIND = "CASE WHEN lower(trim(change_type)) IN ('added', 'modified', 'deleted') THEN lower(trim(change_type)) ELSE 'other' END"

@@ -82,3 +82,20 @@ def test_complexity_counts_control_structures(spark, rows, tables):
     assert got == sorted(want, key=str)
     # 7 // 2, 6, 5, 2, 2 // 2, 0 and 25 structures a function
     assert rows(entry.queries()["control_complexity_buckets"](spark, d).select("bucket", "functions", "files")) == [("low", 6, 4), ("medium", 2, 2), ("very_high", 1, 1)]
+
+
+def test_graph_of_imports(spark, rows, tables):
+    names = {"a": "bx", "b": "c", "c": "ad", "d": "e", "e": "", "f": "f"}
+    d = tables(source_files=_files({f"{k}.py": "".join(f"import {x}\n" for x in v) for k, v in names.items()}))
+    edge = {(k, x) for k, v in names.items() for x in v if x in names}
+    far, front = {}, {(a, b) for a, b in edge}
+    for k in range(1, 9):
+        for p in front:
+            far.setdefault(p, k)
+        front = {(a, c) for a, b in front for x, c in edge if x == b}
+    want = sorted(((f"{a}.py", f"{b}.py", k) for (a, b), k in far.items()), key=str)
+    q = entry.queries()
+    assert rows(q["import_reach"](spark, d).select("start", "node", "distance")) == want
+    assert rows(q["import_impact"](spark, d).select("node", "start", "distance")) == want
+    assert rows(q["import_cycles"](spark, d).select("component", "path")) == [("a.py", "a.py"), ("a.py", "b.py"), ("a.py", "c.py"), ("f.py", "f.py")]
+    assert {(r.path, r.includes, r.included_by) for r in q["import_degrees"](spark, d).collect()} == {(f"{k}.py", sum(a == k for a, _ in edge), sum(b == k for _, b in edge)) for k in names}
