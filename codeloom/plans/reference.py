@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from codeloom.functions import code
 from codeloom.operators import edits, extract, graph, impact, nested, spans, stats, store, tree
@@ -362,6 +362,22 @@ def sessions_compared(spark, d):
     return store.compare_sessions(a, b)
 
 
+@query()
+def neighbour_changes(spark, d):
+    """Functions and classes that differ between each two neighbouring snapshots of a repository, with the calls of their name in the sources; function_changes and sessions_compared have functions of the first and last snapshot."""
+    n = table(spark, d, "snapshots").where("snapshot_id IS NOT NULL").groupBy("repo", "snapshot_id").agg(F.min("taken_at").alias("taken_at"))
+    pair = n.select("repo", F.col("snapshot_id").alias("old_id"), F.lead("snapshot_id").over(W.partitionBy("repo").orderBy("taken_at", "snapshot_id")).alias("new_id")).where("new_id IS NOT NULL")
+    path = F.regexp_replace(F.replace("file_path", F.lit("\\"), F.lit("/")), r"^(\./)+", "")
+    s = table(spark, d, "symbol_snapshot").where("symbol_type IN ('function', 'class')").groupBy("snapshot_id", "symbol_type", path.alias("path"), "name")
+    s = s.agg(F.max(F.struct("ingested_at", "signature"))["signature"].alias("signature"))  # the row read last
+    side = lambda c: s.join(pair.withColumn("snapshot_id", F.col(c)), "snapshot_id")
+    keys = ["repo", "old_id", "new_id", "symbol_type", "path", "name"]
+    c = impact.symbol_diff(side("old_id"), side("new_id"), keys, "signature", impact.usage(extract.calls(_texts(spark, d))))
+    kind = F.col("change_type")
+    of_class = F.replace(kind, F.lit("function_"), F.lit("class_"))
+    return c.select(*keys, "before", "after", F.when(F.col("symbol_type") == "class", of_class).otherwise(kind).alias("change_type"), "uses", "breaking")
+
+
 @query(_SRC + f", u AS (SELECT function AS name, count(*) AS uses FROM {_CAL} GROUP BY 1) SELECT f.repo, f.path, f.name, f.kind, coalesce(uses, 0) AS uses FROM {_FUN} f LEFT JOIN u USING (name)")
 def usage_counts(spark, d):
     t = _texts(spark, d)

@@ -99,3 +99,23 @@ def test_graph_of_imports(spark, rows, tables):
     assert rows(q["import_impact"](spark, d).select("node", "start", "distance")) == want
     assert rows(q["import_cycles"](spark, d).select("component", "path")) == [("a.py", "a.py"), ("a.py", "b.py"), ("a.py", "c.py"), ("f.py", "f.py")]
     assert {(r.path, r.includes, r.included_by) for r in q["import_degrees"](spark, d).collect()} == {(f"{k}.py", sum(a == k for a, _ in edge), sum(b == k for _, b in edge)) for k in names}
+
+
+def test_neighbouring_snapshots(spark, rows, tables):
+    snaps = [("r", "s3", 3), ("r", "s1", 1), ("r", "s2", 2), ("q", "t1", 1)]
+    sym = {"s1": {("function", "f"): "f(a)", ("class", "K"): "K", ("function", "gone"): "gone()"}, "s2": {("function", "f"): "f(b)", ("class", "K"): "K(B)"}, "s3": {("function", "f"): "f(a)", ("class", "L"): "L"}, "t1": {("function", "f"): "f()"}}
+    d = tables(
+        snapshots=(snaps, "repo STRING, snapshot_id STRING, taken_at INT"),
+        symbol_snapshot=([(s, t, "./a.py" if s == "s2" else "a.py", n, x, k) for s, m in sym.items() for (t, n), v in m.items() for x, k in ((v, 2), ("A stale", 1))], "snapshot_id STRING, symbol_type STRING, file_path STRING, name STRING, signature STRING, ingested_at INT"),
+        source_files=_files({"b.py": "x = f(1) + f(2)\nL()\n"}),
+    )
+    uses = {"f": 2, "L": 1}
+    want = []
+    for a, b in (("s1", "s2"), ("s2", "s3")):
+        for t, n in {*sym[a], *sym[b]}:
+            x, y = sym[a].get((t, n)), sym[b].get((t, n))
+            if x != y:
+                kind = f"{t}_removed" if y is None else f"{t}_added" if x is None else "signature_changed"
+                want.append((a, b, t, n, kind, uses.get(n, 0), x is not None and uses.get(n, 0) > 0))
+    got = entry.queries()["neighbour_changes"](spark, d)
+    assert rows(got.select("old_id", "new_id", "symbol_type", "name", "change_type", "uses", "breaking")) == sorted(want, key=str)
