@@ -37,10 +37,16 @@ def _sizes(spark: SparkSession, d: str, *more: str) -> DataFrame:
     return tokens.with_tokens(table(spark, d, "documents").select("doc_id", *more, "text"))
 
 
+def _capacities(spark: SparkSession, d: str, most: int = 1000) -> dict:
+    """Capacities by specification, a handful written by hand; more than most are an error."""
+    got = table(spark, d, "pack_specs").where("spec_id IS NOT NULL AND capacity_tokens > 0").select("spec_id", "capacity_tokens").limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"more than {most} packing specifications")
+    return {r[0]: r[1] for r in got}
+
+
 def p6_packed(spark: SparkSession, d: str) -> DataFrame:
-    # The specifications are a handful written by hand.
-    capacities = {r[0]: r[1] for r in table(spark, d, "pack_specs").where("spec_id IS NOT NULL AND capacity_tokens > 0").select("spec_id", "capacity_tokens").limit(1000).collect()}
-    return packing.pack(_sizes(spark, d), capacities)
+    return packing.pack(_sizes(spark, d), _capacities(spark, d))
 
 
 def p6_fill(spark: SparkSession, d: str) -> DataFrame:

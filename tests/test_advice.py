@@ -119,3 +119,11 @@ def test_neighbouring_snapshots(spark, rows, tables):
                 want.append((a, b, t, n, kind, uses.get(n, 0), x is not None and uses.get(n, 0) > 0))
     got = entry.queries()["neighbour_changes"](spark, d)
     assert rows(got.select("old_id", "new_id", "symbol_type", "name", "change_type", "uses", "breaking")) == sorted(want, key=str)
+
+
+def test_too_many_packing_specifications(spark, tables):
+    catalogue = pytest.importorskip("codeloom.llm.catalogue")
+    d = tables(documents=([(1, "a b")], "doc_id BIGINT, text STRING"), pack_specs=([(f"s{i}", i) for i in range(1002)], "spec_id STRING, capacity_tokens INT"))
+    with pytest.raises(ValueError):
+        catalogue.p6_packed(spark, d)
+    assert len(catalogue._capacities(spark, d, 1001)) == 1001
