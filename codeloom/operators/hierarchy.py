@@ -5,16 +5,24 @@ has two tour elements, 2v (entered) and 2v+1 (left). The successor of each eleme
 next sibling and the parent, so the successors are a permutation of the elements: every join of the ranking is one row
 to one row on distinct keys, whatever the shape of the trees, and a node with a third of all rows below it is no hot key.
 
-Pointer doubling over that permutation gives, in rounds logarithmic in the longest tour, each element's distance to the
-tour's end (entry and exit numbers), the number of open nodes (depth) and the end itself (the root). Elements that have
-not reached an end after enough rounds belong to components with a loop. There the tour closes into two circles, one
-around the loop and one inside it: a node is on the loop if and only if its two elements lie on different circles. No
-walk along the loop is needed and peeling one layer is enough; peeling trees layer by layer would take as many rounds as
-they are deep.
+List ranking contracts the tours: in each round a quarter of the elements, no two of them neighbours, is spliced out, and
+put back in reverse order once the rest is ranked. So all rounds together move a few times the elements, not their
+number times the logarithm of the longest tour. Distances to the tour's end give entry and exit numbers, the number of
+open nodes gives the depth, and the end itself the root. Elements without an end belong to components with a loop. There
+the tour closes into two circles, one around the loop and one inside it: a node is on the loop if and only if its two
+elements lie on different circles. No walk along the loop is needed and peeling one layer is enough; peeling trees layer
+by layer would take as many rounds as they are deep.
+
+Ancestors, paths and descendants come from the intervals of entry and exit. A tree's visits are cut into chunks of equal
+size; a node is noted in each chunk its interval meets, and all ancestors of a node are noted in the chunk it is entered in.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from codeloom.functions.text import canonical_id
@@ -22,6 +30,12 @@ from codeloom.session import Stage
 
 #: Sibling groups are split into this many parts by hash, so no part of a hot parent is unbounded in one task.
 PARTS = 1024
+#: So many visits of a tree share one copy of their root's row.
+SPREAD = 1 << 20
+#: Contraction ends with so many elements at most, which one task ranks: five numbers each.
+SMALL = 1 << 18
+#: Visits of a tree in one chunk of its intervals.
+CHUNK = 64
 
 
 def latest_links(rows: DataFrame, id_col: str = "id", parent_col: str = "parent_id", time_col: str = "indexed_at", name_col: str | None = None) -> DataFrame:
@@ -50,7 +64,7 @@ def _ranked(df: DataFrame, key: str, part: Column, order: str) -> DataFrame:
     return inside.join(before, [key, "_part"])
 
 
-def euler_forest(links: DataFrame) -> DataFrame:
+def euler_forest(links: DataFrame, small: int = SMALL) -> DataFrame:
     """links (id, parent, name) with distinct ids → (id, parent, name, root_id, depth, entry, exit, descendants, on_loop).
 
     * A node whose parent is null or not among the ids is a root: depth 0, root_id itself.
@@ -98,35 +112,36 @@ def euler_forest(links: DataFrame) -> DataFrame:
             )
         ).alias("x")
     ).select("x.*")
-    tour = tour.select("el", "nxt", F.when(F.col("ends"), 0).otherwise(F.col("steps")).alias("steps"), F.when(F.col("ends"), 0).otherwise(F.col("down")).alias("down"), F.col("el").alias("least"), F.col("ends").alias("done"))
-    ranked = _rank(st, st.put(tour))
+    tour = tour.select("el", "nxt", F.when(F.col("ends"), 0).otherwise(F.col("steps")).alias("steps"), F.when(F.col("ends"), 0).otherwise(F.col("down")).alias("down"), F.col("ends").alias("done"))
+    ranked = _rank(st, st.put(tour), small)
 
-    ends = ranked.where("done").select("el", "nxt", "steps", "down")
-    ins = ends.where("el % 2 = 0").select(F.shiftright("el", 1).alias("n"), F.shiftright("nxt", 1).alias("r"), F.col("steps").alias("s_in"), (F.col("down") + 1).alias("depth"))
+    # The root's row is copied for each stretch of its tour, so that a tree with a third of all nodes is no hot key.
+    stretch = F.floor(F.col("s_in") / SPREAD).cast("long")
+    ends = ranked.where("done").select("el", "far", "steps", "down")
+    ins = ends.where("el % 2 = 0").select(F.shiftright("el", 1).alias("n"), F.shiftright("far", 1).alias("r"), F.col("steps").alias("s_in"), (F.col("down") + 1).alias("depth"))
     outs = ends.where("el % 2 = 1").select(F.shiftright("el", 1).alias("n"), F.col("steps").alias("s_out"))
-    placed = ins.join(outs, "n")
-    total = placed.where("n = r").select("r", F.col("s_in").alias("last"))
-    trees = st.put(placed.join(total, "r").select("n", "r", "depth", (F.col("last") - F.col("s_in")).alias("entry"), (F.col("last") - F.col("s_out")).alias("exit")))
+    placed = ins.join(outs, "n").withColumn("_at", stretch)
+    total = placed.where("n = r").select("n", "r", F.col("s_in").alias("last")).join(nodes.select("n", F.col("id").alias("root_id")), "n").drop("n")
+    total = total.withColumn("_at", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / SPREAD).cast("long"))))
+    trees = st.put(placed.join(total, ["r", "_at"]).select("n", "root_id", "depth", (F.col("last") - F.col("s_in")).alias("entry"), (F.col("last") - F.col("s_out")).alias("exit")))
 
     # Loops: the two elements of a node on a loop lie on different circles.
-    circle = ranked.where("NOT done").select("el", "least")
-    c_in = circle.where("el % 2 = 0").select(F.shiftright("el", 1).alias("n"), F.col("least").alias("a"))
-    c_out = circle.where("el % 2 = 1").select(F.shiftright("el", 1).alias("n"), F.col("least").alias("b"))
-    looped = c_in.join(c_out, "n").withColumn("on_loop", F.col("a") != F.col("b"))
+    circle = ranked.where("NOT done").select("el", "far")
+    c_in = circle.where("el % 2 = 0").select(F.shiftright("el", 1).alias("n"), F.col("far").alias("a"))
+    c_out = circle.where("el % 2 = 1").select(F.shiftright("el", 1).alias("n"), F.col("far").alias("b"))
+    looped = c_in.join(c_out, "n").withColumn("on_loop", F.col("a") != F.col("b")).withColumn("_part", part)
     looped = st.put(looped.join(nodes.select("n", "id"), "n"))
     names = looped.where("on_loop").select(F.explode(F.array("a", "b")).alias("a"), "id").groupBy("a").agg(F.min("id").alias("root_id"))
-    loops = looped.join(names, "a").select("n", "root_id", F.when(F.col("on_loop"), -1).otherwise(-2).cast("long").alias("depth"))
+    names = looped.select("a", "_part").distinct().join(names, "a")  # a copy for each part of a component, as for hot parents
+    loops = looped.join(names, ["a", "_part"]).select("n", "root_id", F.when(F.col("on_loop"), -1).otherwise(-2).cast("long").alias("depth"))
 
     none = F.lit(None).cast("long")
-    root_ids = nodes.select(F.col("n").alias("r"), F.col("id").alias("root_id"))
-    inner_rows = trees.select("n", "r", "depth", "entry", "exit")
     # A lone root is a leaf without a parent; other leaves follow their parent's entry, found through (parent, part) rows so that a hot parent's row is spread as its leaves are.
-    lone = leaves.where("p IS NULL").select("n", F.col("n").alias("r"), F.lit(0).cast("long").alias("depth"), F.lit(0).cast("long").alias("entry"), F.lit(1).cast("long").alias("exit"))
+    lone = leaves.where("p IS NULL").select("n", F.col("id").alias("root_id"), F.lit(0).cast("long").alias("depth"), F.lit(0).cast("long").alias("entry"), F.lit(1).cast("long").alias("exit"))
     spread = leaf.select("p", "_part").distinct()
-    under = leaf.join(spread.join(trees.select(F.col("n").alias("p"), "r", "depth", "entry"), "p"), ["p", "_part"])
-    under = under.select("n", "r", (F.col("depth") + 1).alias("depth"), (F.col("entry") + 1 + 2 * F.col("nth")).alias("entry"), (F.col("entry") + 2 + 2 * F.col("nth")).alias("exit"))
-    good = inner_rows.unionByName(lone).unionByName(under)
-    good = good.join(root_ids, "r").select("n", "root_id", "depth", "entry", "exit")
+    under = leaf.join(spread.join(trees.select(F.col("n").alias("p"), "root_id", "depth", "entry"), "p"), ["p", "_part"])
+    under = under.select("n", "root_id", (F.col("depth") + 1).alias("depth"), (F.col("entry") + 1 + 2 * F.col("nth")).alias("entry"), (F.col("entry") + 2 + 2 * F.col("nth")).alias("exit"))
+    good = trees.unionByName(lone).unionByName(under)
     off = leaf.join(spread.join(loops.select(F.col("n").alias("p"), "root_id"), "p"), ["p", "_part"]).select("n", "root_id", F.lit(-2).cast("long").alias("depth"))
     bad = loops.unionByName(off).select("n", "root_id", "depth", none.alias("entry"), none.alias("exit"))
     place = good.unionByName(bad)
@@ -136,48 +151,98 @@ def euler_forest(links: DataFrame) -> DataFrame:
     )
 
 
-def descendants(paths: DataFrame) -> DataFrame:
-    """(ancestor, id, distance) for every pair of a node and one above it, from the output of ``full_paths``."""
-    pairs = paths.select("id", F.size("ids").alias("_n"), F.posexplode("ids").alias("_i", "ancestor"))
-    return pairs.where("_i < _n - 1").select("ancestor", "id", (F.col("_n") - 1 - F.col("_i")).cast("int").alias("distance"))
+def _rank(st: Stage, tour: DataFrame, small: int) -> DataFrame:
+    """tour (el, nxt, steps, down, done) → (el, far, steps, down, done): sums up to the end of the list, far being the end (done), or the name of the circle an element lies on (not done).
 
+    Each round splices out the elements that toss tails behind one that tosses heads; the toss is a hash of the element and
+    the round, so both are known without a join. An element keeps what it knew of its successor, which outlives it.
+    """
+    keep = ["el", "nxt", "steps", "down", "done"]
+    stays = F.col("done") | (F.col("el") == F.col("nxt"))  # ends, and what is left of a circle
+    cur, gone, k = tour, [], 0
+    while cur.where(~stays).count() > small:
+        heads = lambda c: F.pmod(F.xxhash64(c, F.lit(k)), F.lit(2)) == 0  # noqa: E731, B023
+        own, nxt = heads(F.col("el")), heads(F.col("nxt"))
+        a = cur.where(~stays & own & ~nxt).select(F.struct(*keep).alias("a"), F.col("nxt").alias("x"))
+        b = cur.where(~stays & ~own).select(F.struct(*keep).alias("b"), F.col("el").alias("x"))
+        both = a.join(b, "x", "full_outer")
+        row = lambda el, nxt, steps, down, out: F.struct(el.alias("el"), nxt.alias("nxt"), steps.alias("steps"), down.alias("down"), F.lit(False).alias("done"), F.lit(out).alias("gone"))
+        left, right = F.col("a"), F.col("b")
+        spliced = F.array(
+            row(left["el"], right["nxt"], left["steps"] + right["steps"], left["down"] + right["down"], False),
+            row(right["el"], right["nxt"], right["steps"], right["down"], True),
+        )
+        same = lambda c: F.array(row(c["el"], c["nxt"], c["steps"], c["down"], False))
+        got = both.select(F.explode(F.when(left.isNull(), same(right)).when(right.isNull(), same(left)).otherwise(spliced)).alias("s")).select("s.*")
+        rest = cur.where(stays | (own & nxt)).select(*keep, F.lit(False).alias("gone"))
+        new = st.put(got.unionByName(rest), by="gone")
+        if k:
+            st.drop_part(cur, "gone=false")
+        gone.append(new.where("gone").select("el", "nxt", "steps", "down"))
+        cur = new.where("NOT gone").select(*keep)
+        cur._codeloom_path = new._codeloom_path
+        k += 1
+    fixed = cur.where(stays).select("el", F.col("el").alias("far"), F.lit(0).cast("long").alias("steps"), F.lit(0).cast("long").alias("down"), "done")
+    # At most small rows, whatever the input's size.
+    last = cur.where(~stays).select("el", "nxt", "steps", "down").coalesce(1).mapInArrow(_rank_small, "el BIGINT, far BIGINT, steps BIGINT, down BIGINT")
+    last = last.join(fixed.select(F.col("el").alias("far"), "done"), "far", "left").select("el", "far", "steps", "down", F.coalesce("done", F.lit(False)).alias("done"))
+    ranked = st.put(fixed.unionByName(last))
+    for g in reversed(gone):
+        to = ranked.select(F.col("el").alias("nxt"), "far", F.col("steps").alias("steps2"), F.col("down").alias("down2"), "done")
+        back = g.join(to, "nxt").select("el", "far", (F.col("steps") + F.col("steps2")).alias("steps"), (F.col("down") + F.col("down2")).alias("down"), "done")
+        ranked = ranked.unionByName(st.put(back))
+    return ranked
+
+
+def _rank_small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pointer doubling over all rows of one task; what they point to outside of them are ends. A circle goes by its smallest element."""
+    got = list(batches)
+    if not got:
+        return
+    t = pa.Table.from_batches(got)
+    el, nxt, steps, down = (t.column(c).to_numpy() for c in ("el", "nxt", "steps", "down"))
+    n = len(el)
+    ends = np.setdiff1d(nxt, el)
+    none = np.zeros(len(ends), np.int64)
+    el, nxt, steps, down = np.concatenate([el, ends]), np.concatenate([nxt, ends]), np.concatenate([steps, none]), np.concatenate([down, none])
+    order = np.argsort(el, kind="stable")
+    to = order[np.searchsorted(el, nxt, sorter=order)]
+    least = el
+    for _ in range(n.bit_length()):
+        steps, down, least, to = steps + steps[to], down + down[to], np.minimum(least, least[to]), to[to]
+    far = np.where(to >= n, el[to], least)
+    yield pa.RecordBatch.from_arrays([pa.array(x[:n]) for x in (el, far, steps, down)], names=["el", "far", "steps", "down"])
+
+
+def _chunked(forest: DataFrame, chunk: int, *more: Column) -> DataFrame:
+    """Each node of a tree once for each chunk of visits that its interval meets; own marks the chunk in which it is entered.
+
+    That is one row a node and 2 / chunk of a row for each pair of a node and one below it.
+    """
+    at = lambda c: F.floor(F.col(c) / chunk).cast("long")
+    d = forest.where("depth >= 0").select("id", *more, "root_id", "depth", "entry", "exit", F.explode(F.sequence(at("entry"), at("exit"))).alias("chunk"))
+    return d.withColumn("own", at("entry") == F.col("chunk"))
 
-def _rank(st: Stage, tour: DataFrame) -> DataFrame:
-    """Pointer doubling until every element knows its tour's end, or lies on a circle that has been gone round once.
 
-    An element that is still under way after k rounds at distance d from its end has d - 2^k others still under way
-    before it; so once no more than 2^k are left, one round more finishes all that have an end.
-    """
-    k, last = 0, False
-    while True:
-        left = tour.where("NOT done").count()
-        if not left or last:
-            return tour
-        last = left <= 2**k
-        to = tour.select(F.col("el").alias("nxt"), F.col("nxt").alias("nxt2"), F.col("steps").alias("steps2"), F.col("down").alias("down2"), F.col("least").alias("least2"), F.col("done").alias("done2"))
-        step = tour.where("NOT done").join(to, "nxt").select(
-            "el", F.col("nxt2").alias("nxt"), (F.col("steps") + F.col("steps2")).alias("steps"), (F.col("down") + F.col("down2")).alias("down"),
-            F.least("least", "least2").alias("least"), F.col("done2").alias("done"),
-        )
-        new = st.put(tour.where("done").unionByName(step))
-        st.drop(tour)
-        tour, k = new, k + 1
-
-
-def full_paths(forest: DataFrame, sep: str = "/") -> DataFrame:
-    """(id, path, ids): names from the root down, joined by sep, and the ids of the ancestors and the node itself.
-
-    Doubling on the parent links: after k rounds a row holds the last 2^k segments of its path. Nodes on or below loops
-    have no path and are left out. An empty or null name shows the id. The size of the result is the sum of all depths, which is the size of the answer.
+def descendants(forest: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(ancestor, id, distance) for every pair of a node and one above it, from the output of ``euler_forest`` or ``full_paths``: an interval join within the chunk of the lower node's entry. Nodes on or below loops have none."""
+    d = _chunked(forest, chunk)
+    up = d.select("root_id", "chunk", F.col("id").alias("ancestor"), F.col("depth").alias("_depth"), F.col("entry").alias("_entry"), F.col("exit").alias("_exit"))
+    pairs = d.where("own").join(up, ["root_id", "chunk"]).where("_entry < entry AND exit < _exit")
+    return pairs.select("ancestor", "id", (F.col("depth") - F.col("_depth")).cast("int").alias("distance"))
+
+
+def full_paths(forest: DataFrame, sep: str = "/", chunk: int = CHUNK) -> DataFrame:
+    """(id, path, ids, root_id, depth, entry, exit): names from the root down, joined by sep, and the ids of the ancestors and the node itself, from the output of ``euler_forest``.
+
+    A chunk's nodes are gathered once, in order of entry; the path of a node entered there is what of them encloses its
+    interval. Nodes on or below loops have no path and are left out. An empty or null name shows the id. A row is as wide as
+    its path is long.
     """
-    spark = forest.sparkSession
-    st = Stage(spark, "paths")
     name = F.when(F.length(F.coalesce("name", F.lit(""))) > 0, F.col("name")).otherwise(F.col("id"))
-    cur = st.put(forest.where("depth >= 0").select("id", F.when(F.col("depth") > 0, F.col("parent")).alias("up"), name.alias("path"), F.array("id").alias("ids")))
-    while not cur.where("up IS NOT NULL").isEmpty():
-        to = cur.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("path").alias("path2"), F.col("ids").alias("ids2"))
-        step = cur.where("up IS NOT NULL").join(to, "up").select("id", F.col("up2").alias("up"), F.concat_ws(sep, "path2", "path").alias("path"), F.concat("ids2", "ids").alias("ids"))
-        new = st.put(cur.where("up IS NULL").unionByName(step))
-        st.drop(cur)
-        cur = new
-    return cur.select("id", "path", "ids")
+    d = _chunked(forest, chunk, name.alias("name"))
+    g = d.groupBy("root_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("entry", "exit", "id", "name", "own", "depth"))).alias("all"))
+    v = g.select("root_id", "all", F.explode(F.filter("all", lambda x: x["own"])).alias("v"))
+    above = F.filter("all", lambda u: (u["entry"] <= F.col("v.entry")) & (u["exit"] >= F.col("v.exit")))
+    v = v.select("root_id", "v.id", "v.depth", "v.entry", "v.exit", above.alias("up"))
+    return v.select("id", F.array_join(F.transform("up", lambda u: u["name"]), sep).alias("path"), F.transform("up", lambda u: u["id"]).alias("ids"), "root_id", "depth", "entry", "exit")

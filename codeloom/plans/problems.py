@@ -26,7 +26,7 @@ def p1_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.descendants(hierarchy.full_paths(_forest(spark, d)))
+    return hierarchy.descendants(_forest(spark, d))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

@@ -72,10 +72,10 @@ class Stage:
         self._n = 0
         _at_end(spark, self.root)
 
-    def put(self, df: DataFrame) -> DataFrame:
+    def put(self, df: DataFrame, by: str | None = None) -> DataFrame:
         self._n += 1
         path = f"{self.root}/t{self._n}"
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._codeloom_path = path
         return out
@@ -85,6 +85,10 @@ class Stage:
             if p := getattr(t, "_codeloom_path", None):
                 _delete(self.spark, p)
 
+    def drop_part(self, table: DataFrame, part: str) -> None:
+        if p := getattr(table, "_codeloom_path", None):
+            _delete(self.spark, f"{p}/{part}")
+
 
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm

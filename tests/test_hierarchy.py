@@ -65,3 +65,24 @@ def test_paths_and_descendants(spark, rows):
 def test_empty(spark):
     e = spark.createDataFrame([], DDL)
     assert h.euler_forest(e).count() == 0 and h.full_paths(h.euler_forest(e)).count() == 0
+
+
+@pytest.mark.parametrize("small", [70, 120])
+def test_contracted_tours(spark, small):
+    r = random.Random(small)
+    ids = [f"s{i}" for i in range(150)]
+    pairs = [(i, r.choice([None, ids[max(0, k - 1)], ids[(k + 1) % 150], ids[k // 2]]) if k else None) for k, i in enumerate(ids)]
+    forest = h.euler_forest(spark.createDataFrame([(i, p, i) for i, p in pairs], DDL), small=small)
+    want = model(pairs)
+    assert {x.id: (x.root_id, x.depth) for x in forest.collect()} == want
+    up, above = dict(pairs), {}
+    for i, (_, depth) in want.items():
+        if depth >= 0:
+            chain = [i]
+            while len(chain) <= depth:
+                chain.append(up[chain[-1]])
+            above[i] = chain[::-1]
+    for chunk in (2, 64):
+        assert {x.id: (x.path, x.ids) for x in h.full_paths(forest, chunk=chunk).collect()} == {i: ("/".join(c), c) for i, c in above.items()}
+        got = {(x.ancestor, x.id): x.distance for x in h.descendants(forest, chunk=chunk).collect()}
+        assert got == {(a, i): len(c) - 1 - k for i, c in above.items() for k, a in enumerate(c[:-1])}
