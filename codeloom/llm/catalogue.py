@@ -17,7 +17,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_reasons(spark: SparkSession, d: str) -> DataFrame:
-    return syntax.unparsable(_sources(spark, d)).select("file_id", "lang")
+    return syntax.unparsable(_sources(spark, d)).select("file_id", "lang", "reason")
 
 
 def p2_rates(spark: SparkSession, d: str) -> DataFrame:

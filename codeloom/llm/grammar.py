@@ -11,6 +11,8 @@ from __future__ import annotations
 import re
 from functools import cache
 
+from codeloom.llm.automaton import Automaton
+
 try:
     from re import _constants as _c, _parser as _p
 except ImportError:  # pragma: no cover
@@ -37,12 +39,18 @@ class Language:
         self.lex = re.compile(lex)
         self.words, self.ops, self.special = words, ops, [(re.compile(a, re.S), b) for a, b in special]
         self.sources = {**inside, "top": top}
-        self.inside = {k: re.compile(f"(?:{v})\\Z") for k, v in inside.items()}
-        self.top = re.compile(f"(?:{top})\\Z")
+        self._automata: dict[str, Automaton] = {}
         self.generics = re.compile(generics) if generics else None
         self.newline = newline
         self.folds = [(re.compile(a), b) for a, b in folds]  # compound forms that become one character before the productions apply
 
+    def fits(self, where: str, kinds: str) -> bool:
+        """Whether the kinds are what may stand there."""
+        a = self._automata.get(where)
+        if a is None:
+            a = self._automata[where] = Automaton(self.sources[where])
+        return a.full(kinds)
+
     def kind(self, t: str) -> str:
         for r, k in self.special:
             if r.match(t):
@@ -606,9 +614,8 @@ def _python() -> Language:
     special = [(r"#|\\\n", ""), (r"[rbfuRBFU]{0,2}[\"'].", "s"), (r"\.\s*[^\W\d]", "m"), (r"\.\.\.", "i"), (r"match[ \t]", "C"), (r"case[ \t]", "j"), (r"\n", "L")]
     inside = {"(": paren, "[": brack, "{": brace}
     lang = Language("python", "(?m)" + lex, _map(_PY_WORDS), _ops(_PY_OPS), special, inside, line)
-    lang.head = [(k, re.compile(f"{v}(?P<rest>.*)\\Z")) for k, v in head.items()]  # the rest is a line of its own
+    lang.heads = tuple(head)
     lang.sources |= {f"head {k}": v for k, v in head.items()} | {"decorator": f"@{ex}"}
-    lang.decorator = re.compile(f"@{ex}\\Z")
     return lang
 
 

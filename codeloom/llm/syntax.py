@@ -5,16 +5,13 @@
 3. Nesting and productions: the innermost brackets of a file are checked against what may stand in them and replaced by
    one character, again and again, until the top remains; the contents seen before are looked up. For Python the logical
    lines are then checked, and the blocks that indentation makes of them.
-4. What step 2 or 3 flags in Python is confirmed by the language's own parser.
+
+Productions are matched by automata in linear time, so no file is given up, however long it is.
 """
 
 from __future__ import annotations
 
-import ast
 import re
-import signal
-import threading
-import warnings
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,29 +22,18 @@ from codeloom.session import Stage
 
 _INNER = re.compile(r"\(([^()\[\]{}]*)\)|\[([^()\[\]{}]*)\]|\{([^()\[\]{}]*)\}")
 _AS = {"(": "G", "[": "A", "{": "B"}
-_WIDTH = 0xE000
-
-
-#: Seconds after which a production's match is given up and its file counts as broken: only contents that fit no production make the matcher try that long.
-PATIENCE = 10
+_WIDTH, _BASE = 0xE000, 0x1800
+_DIGITS = 3
 
 
-def _match(rx: re.Pattern, text: str) -> re.Match | None:
-    if len(text) < 24 or threading.current_thread() is not threading.main_thread():
-        return rx.match(text)
+def _digits(n: int) -> str:
+    """A width as three characters of the private area; no text is as long as they reach."""
+    return chr(_WIDTH + n // _BASE // _BASE) + chr(_WIDTH + n // _BASE % _BASE) + chr(_WIDTH + n % _BASE)
 
-    def stop(*_):
-        raise TimeoutError
 
-    old = signal.signal(signal.SIGALRM, stop)
-    signal.setitimer(signal.ITIMER_REAL, PATIENCE)
-    try:
-        return rx.match(text)
-    except TimeoutError:
-        return None
-    finally:
-        signal.setitimer(signal.ITIMER_REAL, 0)
-        signal.signal(signal.SIGALRM, old)
+def _number(digits: str) -> int:
+    a, b, c = (ord(x) - _WIDTH for x in digits)
+    return (a * _BASE + b) * _BASE + c
 
 
 class Checker:
@@ -81,22 +67,22 @@ class Checker:
         for t in self.lang.lex.findall("\n" + text):
             if t[0] == "\n":
                 w = t[t.rfind("\n") + 1 :]  # tabs count to the next multiple of eight, and as one: both must agree
-                out.append("L" + "".join(chr(_WIDTH + min(len(x), 0x1800)) for x in (w.expandtabs(8), w)))
+                out.append("L" + _digits(len(w.expandtabs(8))) + _digits(len(w)))
             else:
                 out.append(self.kinds[t])
         k = "".join(out)
-        return re.sub("^(?:L..)+(?=L)|(?:L..)+$", "", k, flags=re.S)
+        return re.sub("^(?:L[\ue000-\uf8ff]{6})+(?=L)|(?:L[\ue000-\uf8ff]{6})+$", "", k)
 
     def _inside(self, m: re.Match) -> str:
         whole = m.group()
         o, body = whole[0], whole[1:-1]
         if self.python and "L" in body:
-            body = re.sub("L..", "", body, flags=re.S)
+            body = re.sub("L[\ue000-\uf8ff]{6}", "", body)
         ok = self.seen.get((o, body))
         if ok is None:
             if len(self.seen) > 300_000:
                 self.seen.clear()
-            ok = self.seen[o, body] = bool(_match(self.lang.inside[o], self._prepared(body)))
+            ok = self.seen[o, body] = self.lang.fits(o, self._prepared(body))
         if not ok:
             raise SyntaxError(whole[:80])
         return _AS[o]
@@ -129,7 +115,7 @@ class Checker:
             return "nesting"
         if self.python:
             return self._blocks(k)
-        return None if _match(self.lang.top, self._prepared(k)) else "top"
+        return None if self.lang.fits("top", self._prepared(k)) else "top"
 
     def _line(self, line: str) -> str:
         """Kind of a logical line: a head that opens a block, the same in lower case with its suite on the line, ``@``, ``s`` or ``!``."""
@@ -138,16 +124,14 @@ class Checker:
             if len(self.lines) > 300_000:
                 self.lines.clear()
             c = "!"
-            if self.lang.top.match(line):
+            if self.lang.fits("top", line):
                 c = "s"
             elif line[0] == "@":
-                c = "@" if self.lang.decorator.match(line) else "!"
+                c = "@" if self.lang.fits("decorator", line) else "!"
             else:
-                for name, rx in self.lang.head:
-                    if m := rx.match(line):
-                        if not m["rest"] or self.lang.top.match(m["rest"]):
-                            c = name + ("1" if m["rest"] else "0")
-                        break
+                cuts = [i + 1 for i, x in enumerate(line) if x == ":"]
+                heads = ((h, i) for h in self.lang.heads for i in reversed(cuts) if self.lang.fits(f"head {h}", line[:i]))
+                c = next((h + "01"[i < len(line)] for h, i in heads if i == len(line) or self.lang.fits("top", line[i:])), "!")
             self.lines[line] = c
         return c
 
@@ -155,7 +139,7 @@ class Checker:
         stack, alt, owner, opener = [0], [0], [""], ""
         opens, last = False, {0: ""}  # last: what stood before at each level
         for part in k.split("L")[1:]:
-            w, w1, line = ord(part[0]) - _WIDTH, ord(part[1]) - _WIDTH, part[2:]
+            w, w1, line = _number(part[:_DIGITS]), _number(part[_DIGITS : 2 * _DIGITS]), part[2 * _DIGITS :]
             if not line:
                 continue
             c = self._line(line)
@@ -261,21 +245,6 @@ def _productions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*bad)] if bad else [pa.array([], f.type) for f in _REASON], schema=_REASON)
 
 
-def _parses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keeps the Python files that the parser refuses."""
-    warnings.simplefilter("ignore")
-    for b in batches:
-        keep = []
-        for content in b.column("content"):
-            raw = bytes(content.as_py())
-            try:
-                ast.parse(raw[3:] if raw[:3] == b"\xef\xbb\xbf" else raw)
-                keep.append(False)
-            except (SyntaxError, ValueError, RecursionError, MemoryError):
-                keep.append(True)
-        yield b.filter(pa.array(keep)).select(["file_id", "lang", "reason"])
-
-
 def unparsable(files: DataFrame) -> DataFrame:
     """files (file_id, lang, content) → (file_id, lang, reason) of the files that are no valid text of their language.
 
@@ -285,15 +254,11 @@ def unparsable(files: DataFrame) -> DataFrame:
     spark = files.sparkSession
     tokens = Stage(spark, "tokens").put(lexed(files))
     allowed = spark.createDataFrame([(n, p) for n in grammar.LANGUAGES for p in sorted(grammar.permissible_pairs(n))], "lang STRING, pair STRING")
-    # The permissible pairs are a property of the grammars (some ten thousand rows), so they are broadcast.
+    # The permissible pairs are a property of the grammars, not of the data (some ten thousand rows), so they are broadcast.
     pairs = tokens.select("file_id", "lang", F.explode("pairs").alias("pair"))
     strange = pairs.join(F.broadcast(allowed), ["lang", "pair"], "left_anti").groupBy("file_id", "lang").agg(F.concat(F.lit("pair "), F.min("pair")).alias("reason"))
     broken = tokens.select("file_id", "lang", "kinds").mapInArrow(_productions, "file_id BIGINT, lang STRING, reason STRING")
-    found = strange.unionByName(broken).groupBy("file_id", "lang").agg(F.min("reason").alias("reason"))
-    found = Stage(spark, "flagged").put(found)
-    python = files.select("file_id", "content").join(found.where("lang = 'python'"), "file_id")
-    sure = python.select("file_id", "lang", "reason", "content").mapInArrow(_parses, "file_id BIGINT, lang STRING, reason STRING")
-    return found.where("lang <> 'python'").unionByName(sure)
+    return strange.unionByName(broken).groupBy("file_id", "lang").agg(F.min("reason").alias("reason"))
 
 
 def rates(files: DataFrame, flagged: DataFrame) -> DataFrame:
