@@ -175,6 +175,41 @@ def test_statistics(spark, rows):
     assert quality.ngram_cover("a b a b a b".split(), 2) == 1.0 and quality.ngram_cover("a b c d".split(), 2) == 0
 
 
+def test_repetition_decides():
+    fig = lambda t: quality.figures(t, frozenset(COMMON))
+    one = fig(PROSE + "\n\n" + "And so that is it for the day.")
+    many = fig("\n\n".join([PROSE] * 40))
+    assert one["is_prose"] and one["boilerplate_share"] == 0 and not many["is_prose"] and many["boilerplate_share"] > 0.9 and many["duplicate_paragraphs"] == 1
+    lines = fig("\n".join([PROSE, "Menu of the site", "that is for you"] * 9))
+    assert not lines["is_prose"] and lines["duplicate_lines"] == 1 and lines["boilerplate_share"] > 0.8
+    assert fig(f"> {PROSE}\n\n{PROSE}")["is_prose"]  # a quotation and what it quotes
+    assert quality.ngram_cover("a a a a".split(), 2) == 1.0 and quality.ngram_cover("a b a b x".split(), 2) == 0.8 and quality.ngram_cover("a a a b".split(), 2) == 0
+
+
+def test_indented_lines_behind_items():
+    t = "The item two is in the list.\n\n- first\n  item two\n"
+    assert abs(quality.figures(t, frozenset(COMMON))["list_share"] - 13 / 35) < 1e-9
+
+
+def test_covers_like_brute_force():
+    r = random.Random(3)
+    texts = [[r.choice(["a", "bb", "ccc", "d"]) for _ in range(r.randint(0, 14))] for _ in range(60)]
+    num = {"a": 0, "bb": 1, "ccc": 2, "d": 3}
+    import numpy as np
+
+    got = quality.covers([(np.array([num[w] for w in t], int), np.array([len(w) for w in t], int)) for t in texts])
+    for t, g in zip(texts, got):
+        for n in (2, 3, 4):
+            best = 0
+            for gram in {tuple(t[i : i + n]) for i in range(len(t) - n + 1)}:
+                c, i = 0, 0
+                while i + n <= len(t):
+                    hit = tuple(t[i : i + n]) == gram
+                    c, i = c + hit, i + (n if hit else 1)
+                best = max(best, c * sum(map(len, gram)) if c > 1 else 0)
+            assert abs(g[n - 2] - (best / sum(map(len, t)) if t else 0)) < 1e-9
+
+
 def test_says():
     for t in ("// Code generated by x v1. DO NOT EDIT.\nint a;", "/*\n * @generated\n */\nint a;", "/*! lib v1.2.3 */\nx()", "x()\n//# sourceMappingURL=a.map\n", '"""@generated by y"""\nx = 1\n'):
         assert provenance.says(t)[0], t
