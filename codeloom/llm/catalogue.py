@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codeloom.llm import mixing, packing, provenance, quality, syntax, tokens
 from codeloom.sources.tables import table
@@ -26,7 +26,9 @@ def p2_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_scores(spark: SparkSession, d: str) -> DataFrame:
-    return provenance.scored(table(spark, d, "source_files"), table(spark, d, "library_files"))
+    info = table(spark, d, "files").where("file_id IS NOT NULL").groupBy("file_id").agg(F.max(F.struct("analyzed_at", "ingested_at", "size_bytes", "code_ratio")).alias("i")).select("file_id", "i.size_bytes", "i.code_ratio")
+    files = table(spark, d, "source_files").select("file_id", "path", "content").join(info, "file_id", "left")
+    return provenance.scored(files, table(spark, d, "library_files"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

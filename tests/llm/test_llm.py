@@ -239,3 +239,13 @@ def test_held_out_files(spark):
     assert sum(i in found for i in truth if not truth[i]) <= 0.05 * 120
     assert {900, 901} <= found and not {902, 903} & found
     assert provenance.scored(f.limit(0), spark.createDataFrame([], "content STRING")).count() == 0
+    # more shingles than are sent: the same shares by a join
+    lib_df = spark.createDataFrame([(lib,), (None,)], "content STRING")
+    figures = lambda most: {x.file_id: [round(v, 9) for v in x.features] for x in provenance.described(f, lib_df, most).collect()}
+    assert figures(0) == figures(10**6)
+    at = provenance.FEATURES.index("known_shingles")
+    brute = lambda t: {tuple(w[i : i + 5]) for w in [provenance._IDENT.findall(t)] for i in range(len(w) - 4)}
+    have = figures(10**6)
+    for i, _, content in rows:
+        s = brute(provenance.says((content or b"").decode())[2])
+        assert abs(have[i][at] - (len(s & brute(lib)) / len(s) if s else 0)) < 1e-9
