@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F
 
 #: Bytes of payload indexed at a time; a longer payload makes a batch of its own.
@@ -202,7 +203,7 @@ def _index(texts: list[bytes]) -> Index:
     return Index(np.frombuffer(b"".join(texts), np.uint8), offsets)
 
 
-def _items(x: Index, metas: np.ndarray, owners: np.ndarray, keys: dict[int, bytes]) -> tuple[list, list, list, list]:
+def _items(x: Index, metas: np.ndarray, owners: np.ndarray, keys: dict[int, bytes], texts: bool) -> tuple[list, list, list, list]:
     """Objects standing in arrays directly under a key of the objects ``metas`` (tokens), whose nodes' rows are ``owners``."""
     at = np.full(len(x.kind), -1)
     at[metas] = owners
@@ -221,10 +222,10 @@ def _items(x: Index, metas: np.ndarray, owners: np.ndarray, keys: dict[int, byte
         if s is None:
             s = cache[raw] = _unescape(raw)
         names.append(s)
-    return under[x.owner[objs]].tolist(), names, x.nth[objs].tolist(), [x.text(o).decode("utf-8", "replace") for o in objs.tolist()]
+    return under[x.owner[objs]].tolist(), names, x.nth[objs].tolist(), [x.text(o).decode("utf-8", "replace") for o in objs.tolist()] if texts else [None] * len(objs)
 
 
-def _flatten(ids: list, texts: list[bytes], out: dict[str, list]) -> None:
+def _flatten(ids: list, texts: list[bytes], out: dict[str, list], with_fields: bool = True) -> None:
     x = _index(texts)
     v = x.value
     obj_keys = np.unique(x.key[v][x.key[v] >= 0])
@@ -236,9 +237,9 @@ def _flatten(ids: list, texts: list[bytes], out: dict[str, list]) -> None:
         if s is None:
             s = of_key[raw] = _unescape(raw).encode("utf-8", "replace") if b"\\" in raw else raw[1:-1]
         names[k] = s
-    code = np.zeros(len(x.kind), np.int8)  # 1 children, 2 metadata, 3 the tree of a wrapped record
-    for k, s in names.items():
-        code[k] = 1 if s == _CHILDREN else 2 if s in _META else 3 if s == _TREE else 0
+    role = {_CHILDREN: 1, _META[0]: 2, _META[1]: 2, _TREE: 3} | {k: i for i, k in enumerate(_FIELDS, 4)}
+    code = np.zeros(len(x.kind), np.int8)  # 1 children, 2 metadata, 3 the tree of a wrapped record, from 4 on fields
+    code[obj_keys] = [role.get(s, 0) for s in names.values()]
     under = np.where(x.key >= 0, code[np.maximum(x.key, 0)], 0)
 
     opens = v[(x.kind[v] == OPEN_O) | (x.kind[v] == OPEN_A)]
@@ -283,12 +284,11 @@ def _flatten(ids: list, texts: list[bytes], out: dict[str, list]) -> None:
     row_of[nodes] = np.arange(len(nodes))
     fields: dict[str, list] = {f: [None] * len(nodes) for f in ("node_type", "name", "start_line", "end_line")}
     direct = v[(x.owner[v] >= 0)]
-    direct = direct[is_node[x.owner[direct]] & (x.kind[direct] >= STRING)]
-    for t, r, k in zip(direct.tolist(), row_of[x.owner[direct]].tolist(), x.key[direct].tolist()):
-        f = _FIELDS.get(names[k])
-        if f:
-            raw = x.text(t)
-            fields[f][r] = _unescape(raw) if raw[:1] == b'"' else None if raw == b"null" else raw.decode()
+    direct = direct[is_node[x.owner[direct]] & (x.kind[direct] >= STRING) & (under[direct] > 3)] if with_fields else direct[:0]
+    of = list(_FIELDS.values())
+    for r, k, s, e in zip(row_of[x.owner[direct]].tolist(), under[direct].tolist(), x.pos[direct].tolist(), x.end[direct].tolist()):
+        raw = x.raw[s:e]
+        fields[of[k - 4]][r] = _unescape(raw) if raw[:1] == b'"' else None if raw == b"null" else raw.decode()
     out["record_id"] += [ids[q] for q in d.tolist()]
     out["entity"] += ["node"] * len(nodes)
     out["owner_no"] += np.where(parent[nodes] >= 0, number[np.maximum(parent[nodes], 0)], -1).tolist()
@@ -300,13 +300,13 @@ def _flatten(ids: list, texts: list[bytes], out: dict[str, list]) -> None:
     meta = v[(under[v] == 2) & (x.owner[v] >= 0)]
     meta = meta[is_node[x.owner[meta]]]
     mo = meta[x.kind[meta] == OPEN_O]
-    found = [_items(x, mo, row_of[x.owner[mo]], keys)]
+    found = [_items(x, mo, row_of[x.owner[mo]], keys, with_fields)]
     ms = meta[x.kind[meta] == STRING]
     if len(ms):  # metadata sent as text: index the texts in turn
         y = _index([_unescape(x.text(t)).encode() for t in ms.tolist()])
         tops = y.value[(y.owner[y.value] < 0) & (y.kind[y.value] == OPEN_O)]
         yk = np.unique(y.key[y.value][y.key[y.value] >= 0])
-        found.append(_items(y, tops, row_of[x.owner[ms]][y.doc[tops]], {k: y.raw[s:e] for k, s, e in zip(yk.tolist(), y.pos[yk].tolist(), y.end[yk].tolist())}))
+        found.append(_items(y, tops, row_of[x.owner[ms]][y.doc[tops]], {k: y.raw[s:e] for k, s, e in zip(yk.tolist(), y.pos[yk].tolist(), y.end[yk].tolist())}, with_fields))
     for owner, ent, nth, text in found:
         out["record_id"] += [ids[q] for q in d[owner].tolist()] if owner else []
         out["entity"] += ent
@@ -317,35 +317,49 @@ def _flatten(ids: list, texts: list[bytes], out: dict[str, list]) -> None:
             out[f] += [None] * len(ent)
 
 
-_SCHEMA = pa.schema([("record_id", pa.int64()), ("entity", pa.string()), ("owner_no", pa.int32()), ("item_no", pa.int32()), ("node_type", pa.string()), ("name", pa.string()), ("start_line", pa.string()), ("end_line", pa.string()), ("value", pa.string())])
+_ROW = [("record_id", pa.int64()), ("entity", pa.string()), ("owner_no", pa.int32()), ("item_no", pa.int32()), ("node_type", pa.string()), ("name", pa.string()), ("start_line", pa.string()), ("end_line", pa.string()), ("value", pa.string())]
 DDL = "record_id BIGINT, entity STRING, owner_no INT, item_no INT, node_type STRING, name STRING, start_line STRING, end_line STRING, value STRING"
 
 
-def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _run(batches: Iterator[pa.RecordBatch], fields: bool) -> Iterator[pa.RecordBatch]:
+    names = [n for n, _ in (_ROW if fields else _ROW[:4])]
     for b in batches:
-        ids, texts = b.column(0).to_pylist(), b.column(1).cast(pa.binary())
+        ids, texts = pa.array(range(b.num_rows)), b.column(1).cast(pa.binary())
+        records, times = b.column(0), b.column(2)
+        sizes = pa.compute.binary_length(texts).to_numpy(zero_copy_only=False)
         at = 0
         while at < len(ids):
             size, to = 0, at
-            while to < len(ids) and (to == at or size + len(texts[to].as_buffer() or b"") <= BATCH_BYTES):
-                size += len(texts[to].as_buffer() or b"")
+            while to < len(ids) and (to == at or size + sizes[to] <= BATCH_BYTES):
+                size += sizes[to]
                 to += 1
-            out: dict[str, list] = {f: [] for f in _SCHEMA.names}
-            _flatten(ids[at:to], texts[at:to].to_pylist(), out)
-            yield pa.RecordBatch.from_pydict(out, _SCHEMA)
+            out: dict[str, list] = {f: [] for f, _ in _ROW}
+            _flatten(list(range(at, to)), texts[at:to].to_pylist(), out, fields)
+            place = pa.array(out.pop("record_id"), pa.int64())
+            cols = [records.take(place)] + [pa.array(out[f], t) for f, t in _ROW[1:] if f in names] + [times.take(place)]
+            yield pa.RecordBatch.from_arrays(cols, names=[*names, "_t"])
             at = to
 
 
-def linked_rows(records: DataFrame, id_col: str = "record_id", payload_col: str = "payload") -> DataFrame:
+def linked_rows(records: DataFrame, id_col: str = "record_id", payload_col: str = "payload", time_col: str | None = None, fields: bool = True) -> DataFrame:
     """records → (record_id, entity, owner_no, item_no, node_type, name, start_line, end_line, value).
 
     One row per node (entity ``node``: item_no is its number in document order from 0, owner_no its parent's or -1) and per
     object in an array directly under a key of a node's metadata (entity: the key; owner_no: the node's number; item_no: the
     place in the array; value: the object's text). A record is a tree, an array of trees, or an object whose ``ast`` is one of
-    these; ``children`` may be an array, one object or null; metadata may be an object or the text of one.
+    these; ``children`` may be an array, one object or null; metadata may be an object or the text of one. Without fields only
+    the first four columns are made.
 
-    Null, empty and invalid payloads and null record ids yield nothing. Records delivered several times yield each row once.
+    Null, empty and invalid payloads and null record ids yield nothing. Records delivered several times yield each row once,
+    as delivered last by time_col (a null time is oldest; of equal times the greatest values count).
     Of fields given twice in one object the last counts, of children and metadata given twice both; a node's own fields keep their text, null where absent.
     """
-    r = records.select(F.col(id_col).cast("bigint").alias("record_id"), F.col(payload_col).alias("payload")).where("record_id IS NOT NULL AND payload IS NOT NULL")
-    return r.mapInArrow(_run, DDL).dropDuplicates(["record_id", "entity", "owner_no", "item_no"])
+    time = F.col(time_col).cast("timestamp") if time_col else F.lit(None).cast("timestamp")
+    r = records.select(F.col(id_col).cast("bigint").alias("record_id"), F.col(payload_col).alias("payload"), time.alias("_t")).where("record_id IS NOT NULL AND payload IS NOT NULL")
+    keys = ["record_id", "entity", "owner_no", "item_no"]
+    if not fields:
+        ddl = DDL.split(", node_type")[0]
+        return r.mapInArrow(lambda b: _run(b, False), ddl + ", _t TIMESTAMP").select(*keys).distinct()
+    rows = r.mapInArrow(lambda b: _run(b, True), DDL + ", _t TIMESTAMP")
+    v = F.struct("_t", *[n for n, _ in _ROW[4:]])
+    return rows.groupBy(*keys).agg(F.max(v).alias("v")).select(*keys, *[F.col(f"v.{n}") for n, _ in _ROW[4:]])

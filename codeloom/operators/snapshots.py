@@ -1,7 +1,8 @@
 """Differences between consecutive full snapshots.
 
-Keys get ordinals: a key's block is a hash of the key and its place in the block comes from a dictionary that keeps old
-ordinals (``key_dictionary``) or, without one, from the key's rank in its block. A snapshot is then a bitmap over
+Keys get ordinals that stay: a key's block is a hash of the key, and its place in the block comes from a dictionary
+(``KeyStore``) to which later runs only add keys, so that bitmaps of any two runs can be compared. Without a store the key's
+rank in its block serves for one run. A snapshot is then a bitmap over
 ordinals, stored compressed: only words of 64 ordinals that hold a set bit exist, as rows (block, word). For two
 adjacent snapshots ``new & ~old`` are the additions, ``old & ~new`` the removals, and in ``new & old`` the value vectors of
 both sides, ordered by ordinal, are compared in place: the partner of a bit is found by counting the bits below it.
@@ -12,7 +13,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.errors import AnalysisException
 
 WORD = 64
 
@@ -35,35 +37,67 @@ def latest_rows(rows: DataFrame, keys: Sequence[str], values: Sequence[str], tim
     return rows.select(*keys, v.alias("_v")).groupBy(*keys).agg(F.max("_v").alias("_v")).select(*keys, *[F.col(f"_v.{c}").alias(c) for c in values])
 
 
-def key_dictionary(records: DataFrame, keys: Sequence[str], blocks: int, known: DataFrame | None = None) -> DataFrame:
-    """(block, ordinal, *keys) of all keys in records; keys in ``known`` (an earlier output) keep their ordinal, new ones follow the block's greatest."""
-    block = F.pmod(F.xxhash64(*keys), F.lit(blocks))
-    d = records.select(*keys).distinct().select(block.alias("block"), *keys)
+def new_keys(records: DataFrame, keys: Sequence[str], blocks: int, known: DataFrame | None = None) -> DataFrame:
+    """(block, ordinal, *keys) of the keys in records that known (an earlier output) lacks; their ordinals follow the block's greatest."""
+    d = records.select(*keys).distinct().select(F.pmod(F.xxhash64(*keys), F.lit(blocks)).alias("block"), *keys)
+    rank = (F.row_number().over(W.partitionBy("block").orderBy(*keys)) - 1).cast("long")
     if known is None:
-        return d.select("block", (F.row_number().over(W.partitionBy("block").orderBy(*keys)) - 1).cast("long").alias("ordinal"), *keys)
-    same = None
+        return d.select("block", rank.alias("ordinal"), *keys)
+    same = d["block"] == known["block"]
     for k in keys:
-        e = d[k].eqNullSafe(known[k])
-        same = e if same is None else same & e
-    new = d.join(known, (d["block"] == known["block"]) & same, "left_anti")
+        same &= d[k].eqNullSafe(known[k])
+    new = d.join(known, same, "left_anti").withColumn("_r", rank)
     top = known.groupBy("block").agg((F.max("ordinal") + 1).alias("_from"))
-    ranked = new.withColumn("_r", F.row_number().over(W.partitionBy("block").orderBy(*keys)) - 1)
-    new = ranked.join(top, "block", "left").select("block", (F.coalesce("_from", F.lit(0)) + F.col("_r")).cast("long").alias("ordinal"), *keys)
-    return known.select("block", "ordinal", *keys).unionByName(new)
+    return new.join(top, "block", "left").select("block", (F.coalesce("_from", F.lit(0)) + F.col("_r")).cast("long").alias("ordinal"), *keys)
+
+
+def key_dictionary(records: DataFrame, keys: Sequence[str], blocks: int, known: DataFrame | None = None) -> DataFrame:
+    """(block, ordinal, *keys) of all keys in records; keys in ``known`` (an earlier output) keep their ordinal."""
+    new = new_keys(records, keys, blocks, known)
+    return new if known is None else known.select("block", "ordinal", *keys).unionByName(new)
+
+
+class KeyStore:
+    """Ordinals of keys, kept in a folder that all executors share. Runs add keys and never change one.
+
+    The number of blocks belongs to the folder: a key's block must be the same in each run.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, blocks: int = 256):
+        self.spark, self.blocks, self.path = spark, blocks, f"{root.rstrip('/')}/blocks-{blocks}"
+
+    def load(self) -> DataFrame | None:
+        """(block, ordinal, *keys) of all keys so far; None before the first run."""
+        try:
+            return self.spark.read.parquet(self.path)
+        except AnalysisException:
+            return None
+
+    def extend(self, records: DataFrame, keys: Sequence[str]) -> DataFrame:
+        """Gives the keys of records that are new an ordinal, and returns all."""
+        new_keys(records, keys, self.blocks, self.load()).write.mode("append").parquet(self.path)
+        return self.load()
 
 
-def diff(records: DataFrame, snapshots: DataFrame, keys: Sequence[str], values: Sequence[str], dictionary: DataFrame | None = None, blocks: int | None = None) -> DataFrame:
+def diff(records: DataFrame, snapshots: DataFrame, keys: Sequence[str], values: Sequence[str], dictionary: DataFrame | None = None, blocks: int | None = None, store: KeyStore | None = None) -> DataFrame:
     """records (snapshot_id, *keys, *values), one row per snapshot and key → (snapshot_id, *keys, old, new, change).
 
     snapshot_id is the later of two adjacent snapshots; change is ``added``, ``removed`` or ``changed`` (some value
     differs, two nulls being equal); old and new are structs of the values, null on the side that has no row. Records of
     unknown snapshots are left out. A repo's first snapshot adds nothing; a snapshot without rows is a full removal.
-    Without a dictionary the ordinals hold for this call only.
+    With a store the ordinals are those of the keys (repo, *keys) kept there, new ones being added; without it and a dictionary they hold for this call only.
     """
-    blocks = blocks or 4 * int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = store.blocks if store else blocks or 4 * int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Each record is the newer side of the pair named by its own snapshot and the older side of the next one's. repo leads the order of ordinals, so that words are dense.
     r = records.join(adjacent(snapshots).withColumnRenamed("repo", "_repo"), "snapshot_id")
-    if dictionary is None:
+    if store:
+        # The kept keys are sorted in among the records, each before its records: one shuffle by block gives ordinals, and words are gathered where they are.
+        named = ["_repo", *keys]
+        kept = store.extend(r.select(*named), named)
+        b = r.withColumn("block", F.pmod(F.xxhash64(*named), F.lit(blocks))).withColumn("_o", F.lit(None).cast("long")).withColumn("_rec", F.lit(1))
+        u = b.unionByName(kept.select("block", *named, F.col("ordinal").alias("_o"), F.lit(0).alias("_rec")), allowMissingColumns=True)
+        r = u.withColumn("ordinal", F.last("_o", True).over(W.partitionBy("block").orderBy(*named, "_rec").rowsBetween(W.unboundedPreceding, 0))).where("_rec = 1").drop("_o", "_rec")
+    elif dictionary is None:
         r = r.withColumn("block", F.pmod(F.xxhash64("_repo", *keys), F.lit(blocks)))
         r = r.withColumn("ordinal", F.dense_rank().over(W.partitionBy("block").orderBy("_repo", *keys)) - 1)
     else:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codeloom.operators import hierarchy, nested, snapshots
+from codeloom.session import Stage
 from codeloom.sources.tables import table
 
 
@@ -30,22 +31,23 @@ def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return nested.linked_rows(table(spark, d, "ast_records")).select("record_id", "entity", "owner_no", "item_no")
+    return nested.linked_rows(table(spark, d, "ast_records"), time_col="received_at", fields=False).select("record_id", "entity", "owner_no", "item_no")
 
 
 def p4_nodes(spark: SparkSession, d: str) -> DataFrame:
-    r = nested.linked_rows(table(spark, d, "ast_records")).where("entity = 'node'")
+    r = nested.linked_rows(table(spark, d, "ast_records"), time_col="received_at").where("entity = 'node'")
     return r.select("record_id", F.col("item_no").alias("node_no"), F.col("owner_no").alias("parent_no"), "node_type", "name", F.col("start_line").try_cast("int").alias("start_line"), F.col("end_line").try_cast("int").alias("end_line"))
 
 
 def p4_items(spark: SparkSession, d: str) -> DataFrame:
-    r = nested.linked_rows(table(spark, d, "ast_records")).where("entity <> 'node'")
+    r = nested.linked_rows(table(spark, d, "ast_records"), time_col="received_at").where("entity <> 'node'")
     return r.select("record_id", F.col("owner_no").alias("node_no"), "entity", "item_no", F.get_json_object("value", "$.name").alias("name"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "snapshots")
-    return snapshots.file_changes(table(spark, d, "file_snapshot"), s).unionByName(snapshots.symbol_changes(table(spark, d, "symbol_snapshot"), s))
+    s, keys = table(spark, d, "snapshots"), Stage(spark, "keys").root
+    files = snapshots.file_changes(table(spark, d, "file_snapshot"), s, store=snapshots.KeyStore(spark, f"{keys}/files"))
+    return files.unionByName(snapshots.symbol_changes(table(spark, d, "symbol_snapshot"), s, store=snapshots.KeyStore(spark, f"{keys}/symbols")))
 
 
 def p5_counts(spark: SparkSession, d: str) -> DataFrame:

@@ -578,7 +578,7 @@ def output_guard(spark, d):
 
 
 def _nodes(spark: SparkSession, d: str) -> DataFrame:
-    n = nested.linked_rows(table(spark, d, "ast_records")).where("entity = 'node'")
+    n = nested.linked_rows(table(spark, d, "ast_records"), time_col="received_at").where("entity = 'node'")
     return n.select("record_id", F.col("item_no").alias("node_no"), F.col("owner_no").alias("parent_no"), "node_type", "name", F.col("start_line").try_cast("int").alias("start_line"), F.col("end_line").try_cast("int").alias("end_line"))
 
 

@@ -48,3 +48,19 @@ def test_empty_tables_and_removal_of_all(spark, rows):
     assert s.diff(spark.createDataFrame([], ddl), _snaps(spark, 2), ["k"], ["v"]).count() == 0
     got = s.diff(spark.createDataFrame([("r0", "a", None), ("r0", None, None)], ddl), _snaps(spark, 2), ["k"], ["v"])
     assert rows(got.select("snapshot_id", "k", "change")) == [("r1", "a", "removed"), ("r1", None, "removed")]
+
+
+def test_kept_ordinals(spark, rows, tmp_path):
+    snaps = spark.createDataFrame([("s1", "r", 1), ("s2", "r", 2), ("s3", "r", 3), ("t1", None, 1), ("t2", None, 2)], "snapshot_id STRING, repo STRING, taken_at INT")
+    data = [("s1", "b", 1), ("s1", "d", 1), ("s1", None, 1), ("s2", "b", 2), ("s2", "d", 1), ("s2", None, 1), ("t1", "b", 1), ("t2", "c", 1)]
+    new = [*data, ("s3", "a", 1), ("s3", "d", 1), ("s3", None, 5)]
+    ddl = "snapshot_id STRING, path STRING, v INT"
+    store = s.KeyStore(spark, f"file://{tmp_path}/keys", blocks=3)
+    for part in (data, new):
+        df = spark.createDataFrame(part, ddl)
+        with_store = s.diff(df, snaps, ["path"], ["v"], store=store).select("snapshot_id", "path", "change")
+        assert rows(with_store) == rows(s.diff(df, snaps, ["path"], ["v"]).select("snapshot_id", "path", "change"))
+        kept = {(r._repo, r.path): (r.block, r.ordinal) for r in store.load().collect()}
+        if part is data:
+            first = kept
+    assert len(kept) == len(set(kept.values())) == 6 and all(kept[k] == v for k, v in first.items())
