@@ -183,3 +183,30 @@ def full_call(function: Column, obj: Column, is_method: Column) -> Column:
 
 def estimated_tokens(text: Column) -> Column:
     return F.floor(F.length(text) / 4)
+
+
+def risk_of_count(changes: Column) -> Column:
+    """Up to 2 changes low, up to 10 medium, more high."""
+    return F.when(changes <= 2, "low").when(changes <= 10, "medium").otherwise("high")
+
+
+def note_type(text: Column, types: list[str]) -> Column:
+    """The type a text names, whatever its case; null for others."""
+    low = F.lower(F.trim(text))
+    return F.when(low.isin(types), low)
+
+
+def is_hidden(path: Column) -> Column:
+    return file_name(path).startswith(".")
+
+
+def relative(path: Column, base: str) -> Column:
+    """The path below base; a path elsewhere stays."""
+    b = base.rstrip("/") + "/"
+    return F.when(path.startswith(b), F.substring(path, len(b) + 1, 1 << 20)).otherwise(path)
+
+
+def typed_signature(name: Column, parameters: Column, returns: Column) -> Column:
+    """``name(a: T, b) -> R`` from an array of structs (name, type); what has no type shows none."""
+    each = F.transform(parameters, lambda p: F.concat(p["name"], F.coalesce(F.concat(F.lit(": "), p["type"]), F.lit(""))))
+    return F.concat(name, F.lit("("), F.array_join(each, ", "), F.lit(")"), F.coalesce(F.concat(F.lit(" -> "), returns), F.lit("")))

@@ -124,4 +124,5 @@ def as_text(edge: DataFrame, style: str = "dot") -> DataFrame:
     form = {"dot": '  "%s" -> "%s";', "mermaid": "  %s --> %s"}
     if style == "json":
         return edge.select("repo", F.to_json(F.struct("src", "dst")).alias("line"))
-    return edge.select("repo", F.format_string(form[style], "src", "dst").alias("line"))
+    safe = lambda c: F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')) if style == "dot" else F.regexp_replace(c, r"[^\w./-]", "_")
+    return edge.select("repo", F.format_string(form[style], safe(F.col("src")), safe(F.col("dst"))).alias("line"))

@@ -33,6 +33,17 @@ def likely_changed(functions: DataFrame) -> DataFrame:
     return functions.withColumn("likely", _has(n, LIKELY) | n.endswith("New") | (p > 2) | (u >= 2)).withColumn("breaking", (p > 3) | _has(n, BREAKING) | (u >= 3))
 
 
+# fixed values: parts of names of classes that make a change likely
+LIKELY_CLASS = ["New", "Updated", "Manager"]
+
+
+def likely_changed_classes(classes: DataFrame) -> DataFrame:
+    """classes (name, n_methods, ...) → plus likely, change_type, signature_after and breaking, guessed from names and methods."""
+    n, methods = F.col("name"), F.coalesce(F.col("n_methods"), F.lit(0)) > 0
+    kind = F.when(F.contains(n, F.lit("New")), "class_added").otherwise("class_modified")
+    return classes.withColumns({"likely": _has(n, LIKELY_CLASS) | methods, "change_type": kind, "signature_after": F.concat(F.lit("class "), n), "breaking": methods | F.contains(n, F.lit("Manager"))})
+
+
 def symbol_diff(old: DataFrame, new: DataFrame, keys: list[str], value: str, uses: DataFrame | None = None) -> DataFrame:
     """old and new (*keys, value) → (*keys, before, after, change_type, uses, breaking) of removed, added and changed symbols.
 
@@ -90,9 +101,10 @@ def references(symbols: DataFrame, calls: DataFrame, imports: DataFrame, exports
 
 
 def with_risk(changed: DataFrame, refs: DataFrame | None = None) -> DataFrame:
-    """Adds references (from refs by name, else uses) and risk_level."""
+    """Adds references (from refs by name and file of the symbol, else uses) and risk_level."""
     if refs is not None:
-        changed = changed.join(refs.groupBy("name").agg(F.sum("n").alias("references")), "name", "left").withColumn("references", F.coalesce("references", F.lit(0)))
+        n = refs.groupBy(F.col("name").alias("_name"), F.col("symbol_file").alias("_file")).agg(F.sum("n").alias("references"))
+        changed = changed.join(n, (F.col("name") == F.col("_name")) & F.col("path").eqNullSafe(F.col("_file")), "left").drop("_name", "_file").withColumn("references", F.coalesce("references", F.lit(0)))
     else:
         changed = changed.withColumn("references", F.col("uses"))
     return changed.withColumn("risk_level", code.risk(F.col("change_type"), F.col("breaking"), F.col("references")))
@@ -107,6 +119,11 @@ def affected_files(changed: DataFrame, refs: DataFrame) -> DataFrame:
     return changed.select("path").unionByName(refs.select(F.col("file").alias("path"))).where("path IS NOT NULL").distinct()
 
 
+def untouched_files(changed: DataFrame, refs: DataFrame, k: int = 5) -> DataFrame:
+    """The first k files that changes affect without being changed themselves."""
+    return affected_files(changed, refs).join(changed.select("path").where("path IS NOT NULL").distinct(), "path", "left_anti").orderBy("path").limit(k)
+
+
 def top_references(refs: DataFrame, k: int = 5) -> DataFrame:
     """The first k references of each symbol by file and use, and how many more there are. Spark filters ranks before it shuffles."""
     w = W.partitionBy("name", "symbol_file")

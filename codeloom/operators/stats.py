@@ -16,7 +16,7 @@ def latest_files(files: DataFrame) -> DataFrame:
 
 def summary(metrics: DataFrame) -> DataFrame:
     """One row: files, lines, large and complex files, average and greatest complexity and its file (the first path of equals); zeros and '' for no rows."""
-    top = F.max_by("path", F.struct("cyclomatic", F.transform(F.split("path", ""), lambda c: -F.ascii(c))))
+    top = F.min_by("path", F.struct(-F.col("cyclomatic"), "path"))
     return metrics.agg(
         F.count("*").alias("files"), F.coalesce(F.sum("total_lines"), F.lit(0)).alias("total_lines"), F.coalesce(F.sum("code_lines"), F.lit(0)).alias("code_lines"),
         F.count_if(F.col("total_lines") > 500).alias("large_files"), F.count_if(F.col("rating").isin("complex", "very_complex")).alias("complex_files"),

@@ -25,6 +25,7 @@ def with_scope(nodes: DataFrame, key: str = "record_id") -> DataFrame:
     a record or parent with many nodes is spread by its numbers.
     """
     st = Stage(nodes.sparkSession, "scope")
+    nodes = st.put(nodes)  # read several times below
     name = F.coalesce("name", F.lit(""))
     cur = st.put(nodes.select(key, "node_no", F.when(F.col("parent_no") >= 0, F.col("parent_no")).alias("up"), name.alias("path"), F.lit(0).alias("depth")))
     while not cur.where("up IS NOT NULL").isEmpty():

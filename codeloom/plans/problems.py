@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codeloom.operators import hierarchy, nested, snapshots
 from codeloom.session import Stage
+from codeloom.plans.trees import NODES
 from codeloom.sources.tables import table
 
 
@@ -119,6 +120,9 @@ SELECT g.id, g.root_id, CAST(g.depth AS INTEGER) AS depth, (SELECT count(*) FROM
 ) SELECT id, path FROM chain""",
     "p1_descendants": _LINKS + """
 SELECT u.above AS ancestor, u.id, CAST(g.depth - a.depth AS INTEGER) AS distance FROM up u JOIN good g ON g.id = u.id JOIN good a ON a.id = u.above""",
+    "p4_found": NODES + """SELECT DISTINCT record_id, 'node' AS entity, parent_no AS owner_no, node_no AS item_no FROM own UNION ALL SELECT DISTINCT record_id, entity, node_no, item_no FROM items""",
+    "p4_nodes": NODES + "SELECT * FROM nodes",
+    "p4_items": NODES + "SELECT record_id, node_no, entity, item_no, name FROM items",
     "p5_found": _P5 + "SELECT * FROM found",
     "p5_counts": _P5 + "SELECT snapshot_id, entity, change_type, count(*) AS n FROM found GROUP BY ALL",
 }

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from codeloom.functions import code
 from codeloom.operators import edits, extract, graph, impact, nested, spans, stats, store, tree
+from codeloom.plans.trees import NODES, SCOPES
 from codeloom.sources.tables import table
+from codeloom.sinks import formats
 from codeloom.streaming import watch
 
 AS_OF = "2024-03-20 00:00:00"
@@ -325,10 +327,50 @@ def change_summary(spark, d):
     return stats.change_summary(_logged(spark, d), ["repo"])
 
 
-@query(f"WITH c AS (SELECT repo, path, {_KIND} AS k FROM file_changes), f AS (SELECT DISTINCT repo, path, size_bytes FROM source_files) SELECT f.repo, f.path, f.size_bytes FROM f WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.repo = f.repo AND c.path = f.path) UNION ALL SELECT f.repo, f.path, f.size_bytes FROM f WHERE EXISTS (SELECT 1 FROM c WHERE c.repo = f.repo AND c.path = f.path AND k <> 'deleted')")
+@query(f"WITH c AS (SELECT repo, path, {_KIND} AS k FROM file_changes), f AS (SELECT DISTINCT repo, path, size_bytes FROM source_files) SELECT f.repo, f.path, f.size_bytes FROM f WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.repo = f.repo AND c.path = f.path) UNION ALL SELECT f.repo, f.path, -f.size_bytes FROM f WHERE EXISTS (SELECT 1 FROM c WHERE c.repo = f.repo AND c.path = f.path AND k <> 'deleted')")
 def upserted_files(spark, d):
+    """Fresh rows bear negative sizes, so that they can be told from those they replace."""
     f = table(spark, d, "source_files").select("repo", "path", "size_bytes").distinct()
-    return store.upsert(f, f, _logged(spark, d), ["repo", "path"])
+    return store.upsert(f, f.withColumn("size_bytes", -F.col("size_bytes")), _logged(spark, d), ["repo", "path"])
+
+
+_PATH = "regexp_replace(replace(path, '\\', '/'), '^(\./)+', '')"
+_REFRESH = f"""WITH s AS (SELECT snapshot_id, repo, lag(snapshot_id) OVER (PARTITION BY repo ORDER BY taken_at, snapshot_id) AS before, row_number() OVER (PARTITION BY repo ORDER BY taken_at DESC, snapshot_id DESC) AS k FROM snapshots WHERE repo IS NOT NULL),
+one AS (SELECT snapshot_id, {_PATH} AS path, max(lower(content_hash)) AS h, max(modified_time) AS m, max(size) AS z FROM file_snapshot WHERE path IS NOT NULL GROUP BY ALL),
+a AS (SELECT s.repo || '/' || path AS path, h, m, z, 1 AS i FROM one JOIN s ON s.before = one.snapshot_id WHERE k = 1), b AS (SELECT s.repo || '/' || path AS path, h, m, z, 1 AS i FROM one JOIN s USING (snapshot_id) WHERE k = 1),
+chg AS (SELECT path, CASE WHEN a.i IS NULL THEN 'added' WHEN b.i IS NULL THEN 'deleted' ELSE 'modified' END AS change_type, a.h IS DISTINCT FROM b.h AS content_changed FROM a FULL JOIN b USING (path) WHERE a.i IS NULL OR b.i IS NULL OR a.h IS DISTINCT FROM b.h OR a.m IS DISTINCT FROM b.m OR a.z IS DISTINCT FROM b.z)
+"""
+
+
+def _refresh(spark: SparkSession, d: str) -> DataFrame:
+    """Changes between the last two snapshots of every repository."""
+    s = table(spark, d, "snapshots").where("repo IS NOT NULL")
+    w = W.partitionBy("repo").orderBy(F.desc("taken_at"), F.desc("snapshot_id"))
+    s = s.select("repo", "snapshot_id", F.row_number().over(w).alias("k"))
+    path = F.regexp_replace(F.replace("path", F.lit("\\"), F.lit("/")), r"^(\./)+", "")
+    one = table(spark, d, "file_snapshot").where("path IS NOT NULL").groupBy("snapshot_id", path.alias("path")).agg(F.max(F.lower("content_hash")).alias("content_hash"), F.max("modified_time").alias("modified_time"), F.max("size").alias("size"))
+    side = lambda k: one.join(s.where(F.col("k") == k), "snapshot_id").select(F.concat_ws("/", "repo", "path").alias("path"), "content_hash", "modified_time", "size")
+    return store.snapshot_changes(side(2), side(1))
+
+
+@query(_REFRESH + "SELECT * FROM chg")
+def refresh_changes(spark, d):
+    return _refresh(spark, d).select("path", "change_type", "content_changed")
+
+
+@query(_REFRESH + "SELECT count(*) FILTER (WHERE change_type = 'added') AS added, count(*) FILTER (WHERE change_type = 'modified') AS modified, count(*) FILTER (WHERE change_type = 'deleted') AS deleted, CASE WHEN count(*) = 0 THEN 'no_changes' ELSE 'updated' END AS status FROM chg")
+def refresh_report(spark, d):
+    return store.update_report(_refresh(spark, d))
+
+
+@query(_REFRESH + "SELECT CASE change_type WHEN 'added' THEN '+' WHEN 'deleted' THEN '-' ELSE 'M' END || ' ' || path AS line FROM chg")
+def refresh_preview(spark, d):
+    return store.dry_run(_refresh(spark, d))
+
+
+@query(f"SELECT metric, CAST(value AS VARCHAR) AS value FROM (SELECT count(*) FILTER (WHERE k = 'added') AS added, count(*) FILTER (WHERE k = 'modified') AS modified, count(*) FILTER (WHERE k = 'deleted') AS deleted, count(*) AS total FROM (SELECT {_KIND} AS k FROM file_changes)) UNPIVOT (value FOR metric IN (added, modified, deleted, total))")
+def change_metrics(spark, d):
+    return formats.metrics_rows(stats.change_summary(_logged(spark, d)))
 
 
 _ENDS = "(SELECT repo, min_by(snapshot_id, (taken_at, snapshot_id)) AS first_id, max_by(snapshot_id, (taken_at, snapshot_id)) AS last_id FROM snapshots GROUP BY repo)"
@@ -378,6 +420,28 @@ def neighbour_changes(spark, d):
     return c.select(*keys, "before", "after", F.when(F.col("symbol_type") == "class", of_class).otherwise(kind).alias("change_type"), "uses", "breaking")
 
 
+@query(_EDGES + """SELECT repo, '  "' || replace(replace(src, chr(92), chr(92) || chr(92)), chr(34), chr(92) || chr(34)) || '" -> "' || replace(replace(dst, chr(92), chr(92) || chr(92)), chr(34), chr(92) || chr(34)) || '";' AS line FROM edge""")
+def graph_lines(spark, d):
+    return graph.as_text(_edges(spark, d), "dot")
+
+
+@query(_SRC + "SELECT repo, path, CAST(coalesce((SELECT max((octet_length(encode(x)) - octet_length(encode(regexp_replace(x, '^\\s+', '')))) // 4) FROM (SELECT unnest(lines) AS x) WHERE trim(x, ' \t') <> '' AND NOT starts_with(ltrim(x, ' \t'), '#')), 0) AS INTEGER) AS depth FROM ls WHERE language = 'python'")
+def indentation_depth(spark, d):
+    return _texts(spark, d).where("language = 'python'").select("repo", "path", code.nesting(F.col("text"), F.col("language")).alias("depth"))
+
+
+@query(f"SELECT file_id, CASE {_lang('path')} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in code.DISPLAY.items()) + " ELSE 'Unknown' END AS display, starts_with(regexp_extract(path, '([^/]*)$', 1), '.') AS hidden, CASE WHEN starts_with(path, 'src/') THEN path[5:] ELSE path END AS below_src FROM source_files")
+def path_figures(spark, d):
+    p = F.col("path")
+    return table(spark, d, "source_files").select("file_id", code.display_name(code.language(p)).alias("display"), code.is_hidden(p).alias("hidden"), code.relative(p, "src").alias("below_src"))
+
+
+@query("SELECT id, name, repo, file_path FROM symbols WHERE lower(trim(symbol_type)) = 'function' AND lower(trim(visibility)) = 'public'")
+def public_functions(spark, d):
+    s = table(spark, d, "symbols")
+    return store.filtered(s, symbol_type="function", visibility="public").select("id", "name", "repo", "file_path")
+
+
 @query(_SRC + f", u AS (SELECT function AS name, count(*) AS uses FROM {_CAL} GROUP BY 1) SELECT f.repo, f.path, f.name, f.kind, coalesce(uses, 0) AS uses FROM {_FUN} f LEFT JOIN u USING (name)")
 def usage_counts(spark, d):
     t = _texts(spark, d)
@@ -411,7 +475,7 @@ ref AS (SELECT name, symbol_file, path AS file, usage_type, n FROM plain JOIN cn
   UNION ALL SELECT name, symbol_file, path, 'constructor', n FROM cls JOIN made USING (low))
 """
 )
-_RISK = ", cr AS (SELECT c.*, coalesce((SELECT sum(n) FROM ref WHERE ref.name = c.name), 0) AS refs FROM chg c), risk AS (SELECT *, CASE WHEN ends_with(change_type, 'removed') AND refs > 0 THEN 'high' WHEN breaking OR refs > 10 THEN 'high' WHEN refs > 3 OR change_type = 'signature_changed' THEN 'medium' ELSE 'low' END AS risk_level FROM cr) "
+_RISK = ", cr AS (SELECT c.*, coalesce((SELECT sum(n) FROM ref WHERE ref.name = c.name AND ref.symbol_file IS NOT DISTINCT FROM c.path), 0) AS refs FROM chg c), risk AS (SELECT *, CASE WHEN ends_with(change_type, 'removed') AND refs > 0 THEN 'high' WHEN breaking OR refs > 10 THEN 'high' WHEN refs > 3 OR change_type = 'signature_changed' THEN 'medium' ELSE 'low' END AS risk_level FROM cr) "
 
 
 @query(_REFS + "SELECT * FROM ref")
@@ -439,7 +503,33 @@ def top_references(spark, d):
     return impact.top_references(_refs(spark, d))
 
 
-# The five queries above and their SQL find imports by the words of their modules alone and calls by a part that equals the name; these find all references.
+@query(_REFS + _RISK + "SELECT name, path, risk_level FROM risk WHERE risk_level IN ('medium', 'high')")
+def risks_from_medium(spark, d):
+    return impact.at_least(impact.with_risk(_changed(spark, d), _refs(spark, d)), "medium").select("name", "path", "risk_level")
+
+
+@query(_REFS + "SELECT DISTINCT file AS path FROM ref WHERE file IS NOT NULL AND file NOT IN (SELECT path FROM chg WHERE path IS NOT NULL) ORDER BY path LIMIT 5")
+def untouched_files(spark, d):
+    return impact.untouched_files(_changed(spark, d), _refs(spark, d))
+
+
+@query("""WITH c AS (SELECT repo, lower(trim(id)) AS id, name FROM symbols WHERE lower(trim(symbol_type)) = 'class' AND length(name) > 0 GROUP BY ALL),
+m AS (SELECT lower(trim(parent_id)) AS id, count(DISTINCT lower(trim(id))) AS n_methods FROM symbols WHERE lower(trim(symbol_type)) = 'method' GROUP BY 1)
+SELECT c.repo, c.id, name, coalesce(n_methods, 0) AS n_methods, coalesce(n_methods, 0) > 0 OR contains(name, 'New') OR contains(name, 'Updated') OR contains(name, 'Manager') AS likely, CASE WHEN contains(name, 'New') THEN 'class_added' ELSE 'class_modified' END AS change_type,
+'class ' || name AS signature_after, coalesce(n_methods, 0) > 0 OR contains(name, 'Manager') AS breaking FROM c LEFT JOIN m USING (id)""")
+def likely_class_changes(spark, d):
+    s = table(spark, d, "symbols").select("repo", F.lower(F.trim("id")).alias("id"), F.lower(F.trim("parent_id")).alias("parent"), "name", F.lower(F.trim("symbol_type")).alias("kind"))
+    m = s.where("kind = 'method'").groupBy(F.col("parent").alias("id")).agg(F.count_distinct("id").alias("n_methods"))
+    c = s.where("kind = 'class' AND length(name) > 0").select("repo", "id", "name").distinct().join(m, "id", "left").withColumn("n_methods", F.coalesce("n_methods", F.lit(0)))
+    return impact.likely_changed_classes(c)
+
+
+@query("SELECT repo, count(*) AS changes, CASE WHEN count(*) <= 2 THEN 'low' WHEN count(*) <= 10 THEN 'medium' ELSE 'high' END AS risk FROM changed_symbols GROUP BY repo")
+def risk_by_count(spark, d):
+    return table(spark, d, "changed_symbols").groupBy("repo").agg(F.count("*").alias("changes")).withColumn("risk", code.risk_of_count(F.col("changes")))
+
+
+# The five queries on references above and their SQL find imports by the words of their modules alone and calls by a part that equals the name; these find all references.
 
 
 def _all_refs(spark: SparkSession, d: str) -> DataFrame:
@@ -582,43 +672,43 @@ def _nodes(spark: SparkSession, d: str) -> DataFrame:
     return n.select("record_id", F.col("item_no").alias("node_no"), F.col("owner_no").alias("parent_no"), "node_type", "name", F.col("start_line").try_cast("int").alias("start_line"), F.col("end_line").try_cast("int").alias("end_line"))
 
 
-@query()
+@query(SCOPES + "SELECT record_id, node_no, depth, scope_path FROM scoped")
 def ast_scopes(spark, d):
     return tree.with_scope(_nodes(spark, d)).select("record_id", "node_no", "depth", "scope_path")
 
 
-@query()
+@query(SCOPES + "SELECT record_id, count(*) AS nodes, max(depth) AS max_depth, " + ", ".join(f"count(*) FILTER (WHERE node_type IN ({_q(v)})) AS {k}" for k, v in tree.CATEGORIES.items()) + " FROM scoped GROUP BY record_id")
 def ast_statistics(spark, d):
     return tree.categories(tree.with_scope(_nodes(spark, d)), ["record_id"])
 
 
-@query()
+@query(NODES + "SELECT node_type, count(*) AS nodes FROM nodes GROUP BY node_type")
 def ast_types(spark, d):
     return tree.type_counts(_nodes(spark, d))
 
 
-@query()
+@query(NODES + "SELECT record_id, CAST(sum(CASE WHEN node_type IN ('for_loop', 'while_loop', 'switch_statement', 'match_statement') THEN 2 WHEN node_type IN ('if_statement', 'try_block', 'try_statement') THEN 1 ELSE 0 END) AS BIGINT) AS score, count(*) AS nodes FROM nodes GROUP BY record_id")
 def ast_scores(spark, d):
     return stats.ast_score(_nodes(spark, d), ["record_id"])
 
 
-@query()
+@query(NODES + "SELECT m.* FROM nodes m WHERE node_type = 'method' AND EXISTS (SELECT 1 FROM nodes c WHERE c.record_id = m.record_id AND c.node_no = m.parent_no AND c.node_type = 'class')")
 def ast_methods_of_classes(spark, d):
     return tree.children_of_type(_nodes(spark, d), "class", "method")
 
 
-@query()
+@query(SCOPES + "SELECT m.record_id, m.node_no, m.name, m.scope_path FROM scoped m WHERE (m.name = 'cache' OR m.scope_path = 'cache') AND m.parent_no >= 0")
 def ast_path_query(spark, d):
     return tree.query(tree.with_scope(_nodes(spark, d)), "*::cache").select("record_id", "node_no", "name", "scope_path")
 
 
-@query()
+@query(SCOPES + ", spot AS (SELECT DISTINCT record_id, start_line AS line FROM nodes) SELECT p.record_id, p.line, node_no, node_type, name, depth FROM spot p JOIN scoped s ON s.record_id = p.record_id AND s.start_line <= p.line AND p.line <= s.end_line QUALIFY row_number() OVER (PARTITION BY p.record_id, p.line ORDER BY depth DESC, node_no) = 1")
 def ast_scope_at_line(spark, d):
     n = tree.with_scope(_nodes(spark, d))
     return tree.scope_at(n, n.select("record_id", F.col("start_line").alias("line")))
 
 
-@query()
+@query(SCOPES + "SELECT record_id, node_no, rtrim(repeat('  ', depth) || coalesce(node_type, 'null') || ' ' || coalesce(name, ''), ' ') AS line FROM scoped")
 def ast_dump(spark, d):
     return tree.dump(tree.with_scope(_nodes(spark, d)))
 
