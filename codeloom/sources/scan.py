@@ -13,12 +13,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from codeloom.functions import code
 
 
-def tree(spark: SparkSession, folder: str, tests: bool = False, exclude: list[str] | None = None) -> DataFrame:
+def tree(spark: SparkSession, folder: str, tests: bool = False, exclude: list[str] | None = None, only: list[str] | None = None) -> DataFrame:
     """(path, modified_time, size, content, language) of the source files below a folder, or of one file.
 
     Symbolic links to folders are not followed. Path filters run on the listing; contents are read only where they are selected.
+    With only, paths below the folder, no other file is opened.
     """
-    d = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").load(folder)
+    read = spark.read.format("binaryFile").option("ignoreMissingFiles", "true")
+    d = read.option("recursiveFileLookup", "true").load(folder) if only is None else read.load([f"{folder.rstrip('/')}/{p}" for p in only])
     if empty := _empty_files(spark, folder):  # which the reader leaves out
         e = spark.createDataFrame(empty, "path STRING, t BIGINT").select("path", F.timestamp_millis("t").alias("modificationTime"), F.lit(0).cast("bigint").alias("length"), F.lit(b"").alias("content"))
         d = d.unionByName(e)
@@ -26,6 +28,7 @@ def tree(spark: SparkSession, folder: str, tests: bool = False, exclude: list[st
     base = os.path.abspath(folder.removeprefix("file://")).rstrip("/")
     rel = F.when(p == base, code.file_name(p)).otherwise(F.substring(p, len(base) + 2, 1 << 20))
     d = d.select(rel.alias("path"), F.col("modificationTime").alias("modified_time"), F.col("length").alias("size"), "content")
+    d = d.where(F.col("path").isin(only)) if only is not None else d
     d = d.where(code.is_source(F.col("path")) & ~code.excluded(F.col("path"), exclude))
     d = d if tests else d.where(~code.is_test(F.col("path")))
     return d.withColumn("language", code.language(F.col("path")))
@@ -64,12 +67,28 @@ def git_blobs(paths: DataFrame, repo: str, ref: str) -> DataFrame:
     """(path, content) as of a revision, read by the executors, which need the repository at the same place; paths the revision lacks have null content. Extensions are kept, so languages are."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            got = []
-            for p in b["path"]:
-                r = subprocess.run(["git", "-C", repo, "show", f"{ref}:{p}"], capture_output=True)
-                got.append(r.stdout if r.returncode == 0 else None)
-            yield pd.DataFrame({"path": b["path"], "content": got})
+        # one process for all paths of a task; it is asked for one object after the other
+        git = subprocess.Popen(["git", "-C", repo, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE)
+        try:
+            for b in batches:
+                got = []
+                for p in b["path"]:
+                    if "\n" in p:  # the protocol has a line for each object
+                        r = subprocess.run(["git", "-C", repo, "show", f"{ref}:{p}"], capture_output=True)
+                        got.append(r.stdout if r.returncode == 0 else None)
+                        continue
+                    git.stdin.write(f"{ref}:{p}\n".encode())
+                    git.stdin.flush()
+                    head = git.stdout.readline().rsplit(b" ", 2)
+                    if head[-1].strip() == b"missing":
+                        got.append(None)
+                        continue
+                    body = git.stdout.read(int(head[-1]) + 1)[:-1]
+                    got.append(body if head[-2] == b"blob" else None)
+                yield pd.DataFrame({"path": b["path"], "content": got})
+        finally:
+            git.stdin.close()
+            git.wait()
 
     return paths.select("path").mapInPandas(run, "path STRING, content BINARY")
 
