@@ -151,7 +151,7 @@ class Sessions:
         new, changes, moved = self._changes(sid)
         fresh = self._entities(folder, moved) if moved else {}
         of = {e: (lambda paths, e=e: fresh[e].join(paths, "path", "left_semi")) if moved else (lambda paths, e=e: self.store.load(e, sid).drop("session_id").limit(0)) for e in ENTITIES}
-        return store.update_report(self.store.refresh(sid, new, of, changes))
+        return store.update_report(self.store.refresh(sid, new, of, changes=changes))
 
     def load(self, sid: str, entity: str) -> DataFrame:
         """One of ENTITIES or file_snapshot, as kept."""

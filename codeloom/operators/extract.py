@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from codeloom.functions import code
+from codeloom.functions.text import WHITE
 
 # fixed values: (kind, expression, group of the name) by language
 FUNCTIONS = {
@@ -158,15 +159,19 @@ def declared(sources: DataFrame) -> DataFrame:
 
 def text_metrics(sources: DataFrame) -> DataFrame:
     """(repo, path, language, total_lines, empty_lines, comment_lines, code_lines, code_ratio, cyclomatic, nesting, rating)."""
+    # Lines are counted by expressions over the whole text: none is cut out. Each line ends with a line end here, also the last.
     t, lang = F.col("text"), F.col("language")
-    kinds = F.transform(code.lines(t), lambda x: code.line_kind(x, lang))
-    d = sources.select("repo", "path", "language", "text", kinds.alias("k"))
+    white = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in WHITE if c != "\n") + "]*+"
+    d = sources.select("repo", "path", "language", "text", F.when(F.length(t) > 0, F.concat(F.regexp_replace(t, r"\r?\n\z", ""), F.lit("\n"))).otherwise(F.lit("")).alias("b"))
 
-    def count(kind: str) -> Column:
-        return F.size(F.filter("k", lambda x: x == kind))
+    def count(line: str) -> Column:
+        return F.regexp_count("b", F.lit(f"(?md)^{white}{line}"))
 
-    total = F.size("k")
+    d = d.select(
+        "repo", "path", "language", "text", code.occurrences(F.col("b"), "\n").alias("total_lines"), count("\n").alias("empty_lines"),
+        F.when(lang == "python", count("#")).otherwise(count(r"(?://|/\*|\*)")).alias("comment_lines"),
+    ).withColumn("code_lines", F.col("total_lines") - F.col("empty_lines") - F.col("comment_lines"))
     return d.select(
-        "repo", "path", "language", total.alias("total_lines"), count("empty").alias("empty_lines"), count("comment").alias("comment_lines"), count("code").alias("code_lines"),
-        F.when(total > 0, count("code") / total).otherwise(F.lit(0.0)).alias("code_ratio"), code.cyclomatic(t, lang).alias("cyclomatic"), code.nesting(t, lang).alias("nesting"),
+        "repo", "path", "language", "total_lines", "empty_lines", "comment_lines", "code_lines",
+        F.when(F.col("total_lines") > 0, F.col("code_lines") / F.col("total_lines")).otherwise(F.lit(0.0)).alias("code_ratio"), code.cyclomatic(t, lang).alias("cyclomatic"), code.nesting(t, lang).alias("nesting"),
     ).withColumn("rating", code.rating(F.col("cyclomatic")))
