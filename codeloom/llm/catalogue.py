@@ -67,16 +67,37 @@ def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
     return quality.statistics(table(spark, d, "documents"), table(spark, d, "common_words"))
 
 
+def p8_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The figures that SQL can state."""
+    s = p8_statistics(spark, d)
+    share = lambda c: F.round(c, 9).alias(c)
+    return s.select("doc_id", "n_chars", "n_words", "n_lines", share("mean_word_length"), share("common_words"), share("duplicate_lines"), "is_blank")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return quality.not_prose(p8_statistics(spark, d))
 
 
-_QUERIES = [p2_found, p2_reasons, p2_rates, p3_found, p3_scores, p6_packed, p6_fill, p7_mixed, p7_shares, p8_found, p8_statistics]
+_QUERIES = [p2_found, p2_reasons, p2_rates, p3_found, p3_scores, p6_packed, p6_fill, p7_mixed, p7_shares, p8_found, p8_statistics, p8_counts]
 
 
 def queries() -> dict:
     return {f.__name__: f for f in _QUERIES}
 
 
+_P8_COUNTS = r"""
+WITH d AS (SELECT doc_id, replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM documents),
+c AS (SELECT DISTINCT lower(word) AS w FROM common_words WHERE word IS NOT NULL),
+w AS (SELECT doc_id, unnest(regexp_extract_all(t, '[\p{L}\p{Nl}\p{No}]+(?:[''’][\p{L}\p{Nl}\p{No}]+)*|\p{Nd}+(?:[.,]\p{Nd}+)*')) AS w FROM d),
+ws AS (SELECT doc_id, count(*) AS n, sum(length(w)) AS z, count(*) FILTER (WHERE lower(w) IN (SELECT w FROM c)) AS k FROM w GROUP BY doc_id),
+l AS (SELECT doc_id, x, length(x) AS z FROM (SELECT doc_id, regexp_replace(unnest(string_split(t, chr(10))), '^[\s\p{Z}\x0b\x1c-\x1f\x85]+|[\s\p{Z}\x0b\x1c-\x1f\x85]+$', '', 'g') AS x FROM d) WHERE x <> ''),
+g AS (SELECT doc_id, x, z, count(*) AS n FROM l GROUP BY ALL),
+ls AS (SELECT doc_id, sum(n) AS n, sum(n * z) AS z, coalesce(sum(n * z) FILTER (WHERE n > 1), 0) AS k FROM g GROUP BY doc_id)
+SELECT d.doc_id, length(t) AS n_chars, coalesce(ws.n, 0) AS n_words, CAST(coalesce(ls.n, 0) AS BIGINT) AS n_lines, round(coalesce(ws.z / ws.n, 0.0), 9) AS mean_word_length, round(coalesce(ws.k / ws.n, 0.0), 9) AS common_words,
+  round(coalesce(ls.k / ls.z, 0.0), 9) AS duplicate_lines, ls.doc_id IS NULL AS is_blank
+FROM d LEFT JOIN ws USING (doc_id) LEFT JOIN ls USING (doc_id)
+""".replace("\\\\", "\\")
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p8_counts": _P8_COUNTS}

@@ -19,6 +19,8 @@ DOMAINS = {
     "issue": "talk", "review": "talk", "forum": "talk", "changelog": "history", "commit_message": "history", "build_log": "history",
 }
 BUCKET_BITS = 10
+#: Leaves below this number are broadcast, and the buckets in which their prefixes end, one a leaf; more are joined by shuffle.
+SMALL = 200_000
 
 
 def source_name(c: Column) -> Column:
@@ -111,14 +113,15 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 1, domains: dict[s
             whole = min(int(b // n), by[s][1])
             leaves.append((m, s, lang, whole, int(round(b - whole * n)) if whole < by[s][1] else 0))
         shares += [(m, s, w / weight, int(round(w / weight * ratio[m] * total)), r) for s, (w, r) in by.items()]
-    leaf = F.broadcast(spark.createDataFrame(leaves, "mix_id INT, source STRING, lang STRING, whole INT, rest BIGINT"))
+    small = F.broadcast if len(leaves) < SMALL else lambda d: d
+    leaf = small(spark.createDataFrame(leaves, "mix_id INT, source STRING, lang STRING, whole INT, rest BIGINT"))
     order = F.xxhash64("doc_id", "n", F.lit(seed), "mix_id", "whole")
     rows = docs.where("n > 0").join(leaf, ["source", "lang"]).withColumn("h", order).withColumn("bucket", F.shiftrightunsigned("h", 64 - BUCKET_BITS).cast("int"))
     # Only the bucket of a leaf's order in which the prefix ends is sorted; those before it are taken whole.
     over = W.partitionBy("mix_id", "source", "lang").orderBy("bucket")
     sums = rows.where("rest > 0").groupBy("mix_id", "source", "lang", "bucket", "rest").agg(F.sum("n").alias("t")).withColumn("upto", F.sum("t").over(over))
     ends = sums.where("upto - t < rest AND upto >= rest").select("mix_id", "source", "lang", F.col("bucket").alias("last"), (F.col("rest") - F.col("upto") + F.col("t")).alias("room"))
-    rows = rows.join(F.broadcast(ends), ["mix_id", "source", "lang"], "left")
+    rows = rows.join(small(ends), ["mix_id", "source", "lang"], "left")
     before = rows.where("rest > 0 AND (last IS NULL OR bucket < last)").withColumn("more", F.lit(1))
     run = F.sum("n").over(W.partitionBy("mix_id", "source", "lang").orderBy("h", "doc_id", "n").rowsBetween(W.unboundedPreceding, 0))
     edge = rows.where("bucket = last").withColumn("sofar", run).withColumn("more", F.when(F.col("sofar") - F.col("n") / 2 <= F.col("room"), 1).otherwise(0)).drop("sofar")
