@@ -334,7 +334,7 @@ def upserted_files(spark, d):
     return store.upsert(f, f.withColumn("size_bytes", -F.col("size_bytes")), _logged(spark, d), ["repo", "path"])
 
 
-_PATH = "regexp_replace(replace(path, '\\', '/'), '^(\./)+', '')"
+_PATH = r"regexp_replace(replace(path, '\', '/'), '^(\./)+', '')"
 _REFRESH = f"""WITH s AS (SELECT snapshot_id, repo, lag(snapshot_id) OVER (PARTITION BY repo ORDER BY taken_at, snapshot_id) AS before, row_number() OVER (PARTITION BY repo ORDER BY taken_at DESC, snapshot_id DESC) AS k FROM snapshots WHERE repo IS NOT NULL),
 one AS (SELECT snapshot_id, {_PATH} AS path, max(lower(content_hash)) AS h, max(modified_time) AS m, max(size) AS z FROM file_snapshot WHERE path IS NOT NULL GROUP BY ALL),
 a AS (SELECT s.repo || '/' || path AS path, h, m, z, 1 AS i FROM one JOIN s ON s.before = one.snapshot_id WHERE k = 1), b AS (SELECT s.repo || '/' || path AS path, h, m, z, 1 AS i FROM one JOIN s USING (snapshot_id) WHERE k = 1),
