@@ -16,5 +16,6 @@ def trim_white(c: Column) -> Column:
 
 def canonical_id(c: Column) -> Column:
     """Trimmed and lower-cased; blank becomes null."""
-    t = F.lower(trim_white(c))
+    plain = F.substring(c, 1, 1).between("!", "~") & F.substring(c, -1, 1).between("!", "~")  # nothing to trim, seen at little cost
+    t = F.lower(F.when(plain, c).otherwise(trim_white(c)))
     return F.when(F.length(t) > 0, t)

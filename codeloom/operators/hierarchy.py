@@ -1,12 +1,17 @@
 """Forests and loops from parent links: Euler tours ranked in parallel.
 
+Nodes are cut into blocks by a hash of their ids, and all steps but the last are numpy over one block at a time
+(``operators/tours.py``); blocks send each other packed numbers (``operators/blocks.py``), so shuffles hold one row for a
+pair of blocks and not one for a node. Ids are sent only to find parents by them, and at the end.
+
 Leaves are peeled first; they never enter a tour and get their place from their parent at the end. Every other node v
 has two tour elements, 2v (entered) and 2v+1 (left). The successor of each element depends only on the first child, the
-next sibling and the parent, so the successors are a permutation of the elements: every join of the ranking is one row
-to one row on distinct keys, whatever the shape of the trees, and a node with a third of all rows below it is no hot key.
+next sibling and the parent, so the successors are a permutation of the elements: an element gets one message at most
+from either side, whatever the shape of the trees. A parent, a root or a loop hears from a block of its children or
+nodes once and not from each, so a node with a third of all rows below it is no hot key.
 
-List ranking contracts the tours: in each round a quarter of the elements, no two of them neighbours, is spliced out, and
-put back in reverse order once the rest is ranked. So all rounds together move a few times the elements, not their
+List ranking contracts the tours: in each round a third of the elements, no two of them neighbours, is spliced out, and
+told its sums in reverse order once the rest is ranked. So all rounds together move a few times the elements, not their
 number times the logarithm of the longest tour. Distances to the tour's end give entry and exit numbers, the number of
 open nodes gives the depth, and the end itself the root. Elements without an end belong to components with a loop. There
 the tour closes into two circles, one around the loop and one inside it: a node is on the loop if and only if its two
@@ -19,19 +24,15 @@ size; a node is noted in each chunk its interval meets, and all ancestors of a n
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from codeloom.functions.text import canonical_id
+from codeloom.operators import tours
+from codeloom.operators.blocks import SENT, grouped, inbox, sent, step, together
 from codeloom.session import Stage
 
-#: Sibling groups are split into this many parts by hash, so no part of a hot parent is unbounded in one task.
-PARTS = 1024
-#: So many visits of a tree share one copy of their root's row.
-SPREAD = 1 << 20
+#: Nodes in one block, about. Below SPREAD blocks they are smaller, down to LEAST nodes, so that all cores have some.
+BLOCK, SPREAD, LEAST = 1 << 18, 12, 1 << 15
 #: Contraction ends with so many elements at most, which one task ranks: five numbers each.
 SMALL = 1 << 18
 #: Visits of a tree in one chunk of its intervals.
@@ -44,27 +45,18 @@ def latest_links(rows: DataFrame, id_col: str = "id", parent_col: str = "parent_
     Ids and parents are trimmed and lower-cased. Rows with a null or blank id are no nodes. A null time is older than any
     other; among equal times the greatest (parent, name) counts, a null parent being smaller than any other.
     """
-    name = F.col(name_col).cast("string") if name_col else F.lit(None).cast("string")
-    v = F.struct(F.col(time_col).alias("t"), canonical_id(F.col(parent_col)).alias("parent"), name.alias("name"))
+    name = [F.col(name_col).cast("string").alias("name")] if name_col else []
+    v = F.struct(F.col(time_col).alias("t"), canonical_id(F.col(parent_col)).alias("parent"), *name)
     return (
         rows.select(canonical_id(F.col(id_col)).alias("id"), v.alias("v"))
         .where("id IS NOT NULL")
-        .groupBy("id")
+        .groupBy(F.xxhash64("id"), "id")  # sorted by a number first: ids with one prefix are slow to compare
         .agg(F.max("v").alias("v"))
-        .select("id", "v.parent", "v.name")
+        .select("id", "v.parent", (F.col("v.name") if name_col else F.lit(None).cast("string")).alias("name"))
     )
 
 
-def _ranked(df: DataFrame, key: str, part: Column, order: str) -> DataFrame:
-    """Numbers the rows of each key from 0, in parts that are sorted apart from each other."""
-    d = df.withColumn("_part", part)
-    inside = d.withColumn("_in", F.row_number().over(W.partitionBy(key, "_part").orderBy(order)) - 1)
-    sizes = d.groupBy(key, "_part").count()
-    before = sizes.withColumn("_before", F.coalesce(F.sum("count").over(W.partitionBy(key).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    return inside.join(before, [key, "_part"])
-
-
-def euler_forest(links: DataFrame, small: int = SMALL) -> DataFrame:
+def euler_forest(links: DataFrame, small: int = SMALL, at_most: int | None = None, blocks: int | None = None) -> DataFrame:
     """links (id, parent, name) with distinct ids → (id, parent, name, root_id, depth, entry, exit, descendants, on_loop).
 
     * A node whose parent is null or not among the ids is a root: depth 0, root_id itself.
@@ -73,145 +65,48 @@ def euler_forest(links: DataFrame, small: int = SMALL) -> DataFrame:
     * On a loop depth is -1, on a chain that runs into one -2; root_id is the smallest id on that loop, and entry, exit
       and descendants are null. A node that is its own parent is a loop of one.
     * No rows give no rows.
+
+    at_most: no fewer than the rows of links, where that is known; it saves writing and counting them. The number of
+    blocks follows from it, unless given; the result is the same for any.
     """
-    spark = links.sparkSession
-    st = Stage(spark, "forest")
-    base = st.put(links.select("id", "parent", "name", F.monotonically_increasing_id().alias("n")))
-    ids = base.select(F.col("id").alias("parent"), F.col("n").alias("p"))
-    linked = base.where("parent IS NOT NULL").join(ids, "parent", "left").select("id", F.when(F.col("p").isNotNull(), F.col("parent")).alias("parent"), "name", "n", "p")
-    alone = base.where("parent IS NULL").select("id", "parent", "name", "n", F.lit(None).cast("long").alias("p"))
-    nodes = st.put(linked.unionByName(alone))  # null parents stay out of the join: they would all meet in one task
-
-    # Peel the leaves: what remains has children.
-    inner = nodes.select(F.col("p").alias("n")).where("n IS NOT NULL").distinct()
-    core = st.put(nodes.join(inner, "n", "left_semi").select("n", "p"))
-    leaves = nodes.join(inner, "n", "left_anti")
-    part = F.pmod(F.xxhash64("n"), F.lit(PARTS)).cast("int")
-    leaf = st.put(_ranked(leaves.where("p IS NOT NULL").select("n", "p"), "p", part, "n").select("n", "p", "_part", (F.col("_before") + F.col("_in")).alias("nth")))
-    leaf_counts = leaf.groupBy("p").agg(F.count("*").alias("leaves"))
-
-    # Next sibling: within a part by order, from part to part through each part's first node.
-    kids = core.where("p IS NOT NULL").withColumn("_part", part)
-    in_part = W.partitionBy("p", "_part").orderBy("n")
-    firsts = kids.groupBy("p", "_part").agg(F.min("n").alias("first"))
-    over = W.partitionBy("p").orderBy("_part")
-    firsts = firsts.withColumn("next_first", F.lead("first").over(over)).withColumn("lead_part", F.row_number().over(over) == 1)
-    linked = kids.withColumn("sib", F.lead("n").over(in_part)).join(firsts.select("p", "_part", "next_first"), ["p", "_part"])
-    linked = linked.select("n", F.coalesce("sib", "next_first").alias("sib"))
-    first_child = firsts.where("lead_part").select(F.col("p").alias("n"), F.col("first").alias("child"))
-    shape = core.join(linked, "n", "left").join(first_child, "n", "left").join(leaf_counts.withColumnRenamed("p", "n"), "n", "left")
-
-    # el, nxt, and what a step from el to nxt counts: visits passed (leaves right after their parent is entered) and the change of depth.
-    enter, leave = F.col("n") * 2, F.col("n") * 2 + 1
-    nxt_of_leave = F.when(F.col("sib").isNotNull(), F.col("sib") * 2).when(F.col("p").isNotNull(), F.col("p") * 2 + 1).otherwise(leave)
-    tour = shape.select(
-        F.explode(
-            F.array(
-                F.struct(enter.alias("el"), F.coalesce(F.col("child") * 2, leave).alias("nxt"), (1 + 2 * F.coalesce("leaves", F.lit(0))).cast("long").alias("steps"), F.lit(-1).cast("long").alias("down"), F.lit(False).alias("ends")),
-                F.struct(leave.alias("el"), nxt_of_leave.alias("nxt"), F.lit(1).cast("long").alias("steps"), F.lit(1).cast("long").alias("down"), (F.col("sib").isNull() & F.col("p").isNull()).alias("ends")),
-            )
-        ).alias("x")
-    ).select("x.*")
-    tour = tour.select("el", "nxt", F.when(F.col("ends"), 0).otherwise(F.col("steps")).alias("steps"), F.when(F.col("ends"), 0).otherwise(F.col("down")).alias("down"), F.col("ends").alias("done"))
-    ranked = _rank(st, st.put(tour), small)
-
-    # The root's row is copied for each stretch of its tour, so that a tree with a third of all nodes is no hot key.
-    stretch = F.floor(F.col("s_in") / SPREAD).cast("long")
-    ends = ranked.where("done").select("el", "far", "steps", "down")
-    ins = ends.where("el % 2 = 0").select(F.shiftright("el", 1).alias("n"), F.shiftright("far", 1).alias("r"), F.col("steps").alias("s_in"), (F.col("down") + 1).alias("depth"))
-    outs = ends.where("el % 2 = 1").select(F.shiftright("el", 1).alias("n"), F.col("steps").alias("s_out"))
-    placed = ins.join(outs, "n").withColumn("_at", stretch)
-    total = placed.where("n = r").select("n", "r", F.col("s_in").alias("last")).join(nodes.select("n", F.col("id").alias("root_id")), "n").drop("n")
-    total = total.withColumn("_at", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / SPREAD).cast("long"))))
-    trees = st.put(placed.join(total, ["r", "_at"]).select("n", "root_id", "depth", (F.col("last") - F.col("s_in")).alias("entry"), (F.col("last") - F.col("s_out")).alias("exit")))
-
-    # Loops: the two elements of a node on a loop lie on different circles.
-    circle = ranked.where("NOT done").select("el", "far")
-    c_in = circle.where("el % 2 = 0").select(F.shiftright("el", 1).alias("n"), F.col("far").alias("a"))
-    c_out = circle.where("el % 2 = 1").select(F.shiftright("el", 1).alias("n"), F.col("far").alias("b"))
-    looped = c_in.join(c_out, "n").withColumn("on_loop", F.col("a") != F.col("b")).withColumn("_part", part)
-    looped = st.put(looped.join(nodes.select("n", "id"), "n"))
-    names = looped.where("on_loop").select(F.explode(F.array("a", "b")).alias("a"), "id").groupBy("a").agg(F.min("id").alias("root_id"))
-    names = looped.select("a", "_part").distinct().join(names, "a")  # a copy for each part of a component, as for hot parents
-    loops = looped.join(names, ["a", "_part"]).select("n", "root_id", F.when(F.col("on_loop"), -1).otherwise(-2).cast("long").alias("depth"))
-
-    none = F.lit(None).cast("long")
-    # A lone root is a leaf without a parent; other leaves follow their parent's entry, found through (parent, part) rows so that a hot parent's row is spread as its leaves are.
-    lone = leaves.where("p IS NULL").select("n", F.col("id").alias("root_id"), F.lit(0).cast("long").alias("depth"), F.lit(0).cast("long").alias("entry"), F.lit(1).cast("long").alias("exit"))
-    spread = leaf.select("p", "_part").distinct()
-    under = leaf.join(spread.join(trees.select(F.col("n").alias("p"), "root_id", "depth", "entry"), "p"), ["p", "_part"])
-    under = under.select("n", "root_id", (F.col("depth") + 1).alias("depth"), (F.col("entry") + 1 + 2 * F.col("nth")).alias("entry"), (F.col("entry") + 2 + 2 * F.col("nth")).alias("exit"))
-    good = trees.unionByName(lone).unionByName(under)
-    off = leaf.join(spread.join(loops.select(F.col("n").alias("p"), "root_id"), "p"), ["p", "_part"]).select("n", "root_id", F.lit(-2).cast("long").alias("depth"))
-    bad = loops.unionByName(off).select("n", "root_id", "depth", none.alias("entry"), none.alias("exit"))
-    place = good.unionByName(bad)
-    return nodes.join(place, "n").select(
-        "id", "parent", "name", "root_id", F.col("depth").cast("int").alias("depth"), "entry", "exit",
-        ((F.col("exit") - F.col("entry") - 1) / 2).cast("long").alias("descendants"), (F.col("depth") == -1).alias("on_loop"),
-    )
-
-
-def _rank(st: Stage, tour: DataFrame, small: int) -> DataFrame:
-    """tour (el, nxt, steps, down, done) → (el, far, steps, down, done): sums up to the end of the list, far being the end (done), or the name of the circle an element lies on (not done).
-
-    Each round splices out the elements that toss tails behind one that tosses heads; the toss is a hash of the element and
-    the round, so both are known without a join. An element keeps what it knew of its successor, which outlives it.
-    """
-    keep = ["el", "nxt", "steps", "down", "done"]
-    stays = F.col("done") | (F.col("el") == F.col("nxt"))  # ends, and what is left of a circle
-    cur, gone, k = tour, [], 0
-    while cur.where(~stays).count() > small:
-        heads = lambda c: F.pmod(F.xxhash64(c, F.lit(k)), F.lit(2)) == 0  # noqa: E731, B023
-        own, nxt = heads(F.col("el")), heads(F.col("nxt"))
-        a = cur.where(~stays & own & ~nxt).select(F.struct(*keep).alias("a"), F.col("nxt").alias("x"))
-        b = cur.where(~stays & ~own).select(F.struct(*keep).alias("b"), F.col("el").alias("x"))
-        both = a.join(b, "x", "full_outer")
-        row = lambda el, nxt, steps, down, out: F.struct(el.alias("el"), nxt.alias("nxt"), steps.alias("steps"), down.alias("down"), F.lit(False).alias("done"), F.lit(out).alias("gone"))
-        left, right = F.col("a"), F.col("b")
-        spliced = F.array(
-            row(left["el"], right["nxt"], left["steps"] + right["steps"], left["down"] + right["down"], False),
-            row(right["el"], right["nxt"], right["steps"], right["down"], True),
-        )
-        same = lambda c: F.array(row(c["el"], c["nxt"], c["steps"], c["down"], False))
-        got = both.select(F.explode(F.when(left.isNull(), same(right)).when(right.isNull(), same(left)).otherwise(spliced)).alias("s")).select("s.*")
-        rest = cur.where(stays | (own & nxt)).select(*keep, F.lit(False).alias("gone"))
-        new = st.put(got.unionByName(rest), by="gone")
-        if k:
-            st.drop_part(cur, "gone=false")
-        gone.append(new.where("gone").select("el", "nxt", "steps", "down"))
-        cur = new.where("NOT gone").select(*keep)
-        cur._codeloom_path = new._codeloom_path
-        k += 1
-    fixed = cur.where(stays).select("el", F.col("el").alias("far"), F.lit(0).cast("long").alias("steps"), F.lit(0).cast("long").alias("down"), "done")
-    # At most small rows, whatever the input's size.
-    last = cur.where(~stays).select("el", "nxt", "steps", "down").coalesce(1).mapInArrow(_rank_small, "el BIGINT, far BIGINT, steps BIGINT, down BIGINT")
-    last = last.join(fixed.select(F.col("el").alias("far"), "done"), "far", "left").select("el", "far", "steps", "down", F.coalesce("done", F.lit(False)).alias("done"))
-    ranked = st.put(fixed.unionByName(last))
-    for g in reversed(gone):
-        to = ranked.select(F.col("el").alias("nxt"), "far", F.col("steps").alias("steps2"), F.col("down").alias("down2"), "done")
-        back = g.join(to, "nxt").select("el", "far", (F.col("steps") + F.col("steps2")).alias("steps"), (F.col("down") + F.col("down2")).alias("down"), "done")
-        ranked = ranked.unionByName(st.put(back))
-    return ranked
-
-
-def _rank_small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pointer doubling over all rows of one task; what they point to outside of them are ends. A circle goes by its smallest element."""
-    got = list(batches)
-    if not got:
-        return
-    t = pa.Table.from_batches(got)
-    el, nxt, steps, down = (t.column(c).to_numpy() for c in ("el", "nxt", "steps", "down"))
-    n = len(el)
-    ends = np.setdiff1d(nxt, el)
-    none = np.zeros(len(ends), np.int64)
-    el, nxt, steps, down = np.concatenate([el, ends]), np.concatenate([nxt, ends]), np.concatenate([steps, none]), np.concatenate([down, none])
-    order = np.argsort(el, kind="stable")
-    to = order[np.searchsorted(el, nxt, sorter=order)]
-    least = el
-    for _ in range(n.bit_length()):
-        steps, down, least, to = steps + steps[to], down + down[to], np.minimum(least, least[to]), to[to]
-    far = np.where(to >= n, el[to], least)
-    yield pa.RecordBatch.from_arrays([pa.array(x[:n]) for x in (el, far, steps, down)], names=["el", "far", "steps", "down"])
+    st = Stage(links.sparkSession, "forest", tidy=True)
+    links = links.select("id", "parent", "name")
+    if blocks is None and at_most is None:
+        links = st.put(links)
+        at_most = links.count()
+    n = blocks or max(1, -(-at_most // BLOCK), min(SPREAD, -(-at_most // LEAST)))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    numbered = grouped(links.select("id", "parent", "name", block("id").alias("dst"), F.when(F.col("parent").isNotNull(), block("parent")).alias("up")), n)
+    nodes = st.put(numbered.applyInArrow(lambda t: sent(tours.number(t.column("dst")[0].as_py(), t)), SENT), by="kind")
+    of = lambda t, *kinds: t.where(F.col("kind").isin(*kinds))
+    d = step(tours.resolve, n, nodes)
+    for f in (tours.siblings, tours.link, tours.tour):
+        d = step(f, n, d)
+    start = st.put(d, by="kind")
+    st.drop_part(nodes, "kind=ask")
+
+    rounds, moving = [start], ("cur", "after", "ahead", "lone")
+    left = lambda t: of(t, "cur").agg(F.sum("n")).first()[0] or 0
+    while left(rounds[-1]) > small:
+        rounds.append(st.put(step(tours.contract(len(rounds) - 1), n, of(rounds[-1], *moving)), by="kind"))
+        for kind in moving:
+            st.drop_part(rounds[-2], f"kind={kind}")
+    ended = st.put(step(tours.gather, n, of(rounds[-1], *moving)), by="kind")
+    sums = step(tours.last, n, of(ended, "last"))  # at most small elements, whatever the input's size
+    ranked, owes = step(tours.begin, n, of(start, "nodes"), of(ended, "lone"), sums), ended
+    for t in reversed(rounds[1:]):
+        due = [] if owes is ended else [of(owes, "gone")]
+        new = st.put(step(tours.restore, n, ranked, *due, of(owes, "owes")))
+        st.drop(ranked, owes)
+        ranked, owes = new, t
+    names = of(nodes, "names")
+    asked = step(tours.ask, n, ranked, names, *([of(owes, "gone")] if len(rounds) > 1 else []))
+    placed = st.put(step(tours.place, n, step(tours.answer, n, asked, names), of(start, "spread")))
+    st.drop(ranked, owes)
+    st.drop_part(start, "kind=spread")
+    rows = "id STRING, parent STRING, name STRING, root_id STRING, depth INT, entry BIGINT, exit BIGINT"
+    all_ = together(n, placed, names, of(start, "nodes")).applyInArrow(lambda t: tours.rows(inbox(t)), rows)
+    return all_.withColumns({"descendants": ((F.col("exit") - F.col("entry") - 1) / 2).cast("long"), "on_loop": F.col("depth") == -1})
 
 
 def _chunked(forest: DataFrame, chunk: int, *more: Column) -> DataFrame:

@@ -10,8 +10,9 @@ from codeloom.plans.trees import NODES
 from codeloom.sources.tables import table
 
 
-def _forest(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.euler_forest(hierarchy.latest_links(table(spark, d, "symbols"), name_col="name"))
+def _forest(spark: SparkSession, d: str, name_col: str | None = None) -> DataFrame:
+    t = table(spark, d, "symbols")
+    return hierarchy.euler_forest(hierarchy.latest_links(t, name_col=name_col), at_most=t.count())
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -24,7 +25,7 @@ def p1_intervals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_paths(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.full_paths(_forest(spark, d)).select("id", "path")
+    return hierarchy.full_paths(_forest(spark, d, "name")).select("id", "path")
 
 
 def p1_descendants(spark: SparkSession, d: str) -> DataFrame:

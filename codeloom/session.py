@@ -60,16 +60,20 @@ def shared_dir(spark: SparkSession) -> str:
     return d
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Stage:
     """Written intermediate tables of one operator call.
 
     ``put`` writes a DataFrame as Parquet into the shared folder and reads it back. That cuts the lineage, survives the
     loss of executors, and gives later stages exact sizes. Tables that only a later table needed are dropped with
-    ``drop``; those that the result reads stay until the session ends.
+    ``drop``; those that the result reads stay until the session ends. With ``tidy`` the shuffle files of a table are
+    removed once it is written, not when the driver happens to collect its garbage.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, name: str, tidy: bool = False):
+        self.spark, self.tidy = spark, tidy
         self.root = f"{shared_dir(spark).rstrip('/')}/codeloom/{name}-{uuid.uuid4().hex}"
         self._n = 0
         _at_end(spark, self.root)
@@ -77,7 +81,14 @@ class Stage:
     def put(self, df: DataFrame, by: str | None = None) -> DataFrame:
         self._n += 1
         path = f"{self.root}/t{self._n}"
-        (df.write.partitionBy(by) if by else df.write).parquet(path)
+        before = self.spark.conf.get(_CLEANUP) if self.tidy else None
+        try:
+            if self.tidy:
+                self.spark.conf.set(_CLEANUP, "true")
+            (df.write.partitionBy(by) if by else df.write).parquet(path)
+        finally:
+            if self.tidy:
+                self.spark.conf.set(_CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._codeloom_path = path
         return out
